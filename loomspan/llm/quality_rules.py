@@ -40,8 +40,8 @@ class QualityRules:
     max_repeat_percent: int = 50
     min_words: int = 80
     min_reference_words: int = 1000
-    max_class_distance: float = 0.25
-    max_word_distance: float = 0.6
+    max_class_distance: float = 0.3
+    max_word_distance: float = 0.37
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
     @property
@@ -119,13 +119,16 @@ def document_statistics(docs: DataFrame, rules: QualityRules = QualityRules(), c
 def language_references(stats: DataFrame) -> DataFrame:
     """Pooled histograms by language over the rows of :func:`document_statistics` that pass the base rules."""
 
+    # Conditions stay inside the sums: a filter would be pushed below, and copy, the array columns it reads.
+    passed = lambda c: F.coalesce(F.sum(F.when(~F.col("base_failed"), c)), F.lit(0))
+
     def pooled(name: str, out: str, size: int) -> list[Column]:
-        return [F.coalesce(F.sum(F.get(name, F.lit(i))), F.lit(0)).alias(f"{out}{i}") for i in range(size)]
+        return [passed(F.get(name, F.lit(i))).alias(f"{out}{i}") for i in range(size)]
 
     n_words = 1 + max(len(ws) for ws in QualityRules().lists().values())
     return (
-        stats.where(~F.col("base_failed")).groupBy("lang")
-        .agg(F.sum("n_words").alias("__ref_words"), *pooled("__class_counts", "c", len(CLASSES)), *pooled("__word_counts", "w", n_words))
+        stats.groupBy("lang")
+        .agg(passed(F.col("n_words")).alias("__ref_words"), *pooled("__class_counts", "c", len(CLASSES)), *pooled("__word_counts", "w", n_words))
         .select(
             F.col("lang").alias("__ref_lang"), "__ref_words",
             F.array(*(F.col(f"c{i}") for i in range(len(CLASSES)))).alias("__ref_class"),
@@ -157,7 +160,8 @@ def judge(stats: DataFrame, references: DataFrame, rules: QualityRules = Quality
     })
     guarded = (F.col("n_words") < rules.min_words) | (F.coalesce("__ref_words", F.lit(0)) < rules.min_reference_words)
     fits = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
-    return measured.withColumn("kept", ~F.col("base_failed") & (guarded | fits))
+    # least() of the two is their conjunction, as one predicate: halves of it are not pushed below the arrays either.
+    return measured.withColumn("kept", F.least(~F.col("base_failed"), guarded | fits))
 
 
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
