@@ -106,6 +106,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     stack: list[tuple[str, Node]] = [("#root", root)]
     blocks: list[tuple[Node, str, int]] = []
     text: list[str] = []
+    said_in: list[Node] = [root]  # whose block the text at hand is
     linked = [0]
     depth_link = [0]
 
@@ -113,15 +114,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         if text:
             joined = SPACES.sub(" ", "".join(text)).strip()
             if joined:
-                owner = stack[-1][1]
+                owner = said_in[0]
                 owner.blocks.append((len(blocks), joined, linked[0]))
                 blocks.append((owner, joined, min(linked[0], len(joined))))
             text.clear()
         linked[0] = 0
 
     def say(raw: str):
-        if raw:
+        here = stack[-1][1]
+        if raw and not here.off:  # boilerplate within a line leaves the line whole
             said = entities.unescape(raw)
+            if not text:
+                said_in[0] = here
             text.append(said)
             if depth_link[0]:
                 linked[0] += len(said)
@@ -141,7 +145,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:].removesuffix("]]>"))
+                say(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = m[2].lower()
         if m[1]:
@@ -159,7 +163,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                 pop()
             continue
         if tag == "br":
-            text.append(" ")
+            say(" ")
             continue
         if tag in BLOCK:
             flush()
@@ -184,8 +188,6 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             node = Node(tag, tag + "." + ".".join(sorted(re.sub(r"\d+", "", w) for w in words)), above)
             node.off = above.off or _is_boilerplate(tag, words, role, hidden, above.article)
             node.article = above.article or tag in ("article", "main") or role in ("main", "article")
-            if tag not in BLOCK and node.off and not above.off:
-                flush()
             above.children.append(node)
         else:
             node = above
