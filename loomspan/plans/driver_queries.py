@@ -516,3 +516,73 @@ def json_recover(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("event_id", "props", F.concat(F.lit("Sure.\n```json\n"), F.col("props"), F.lit("\n```\ndone")).alias("reply"))
     found = events.withColumn("json", recover_json("reply"))
     return found.select("event_id", F.get_json_object("json", "$.k").alias("k"), F.length("props").cast("long").alias("n"))
+
+
+# --- fragments, guidance and answers: no SQL says them -----------------------------------------
+
+
+def _chapters(spark, sf_dir):
+    """Documents as chapters: a heading of each kind before their lines, chosen by position."""
+    lines = F.split("text", "\n")
+    marks = F.transform(lines, lambda x, i: F.when(i % 7 == 2, F.concat(F.lit("# 1."), (i + 1).cast("string"), F.lit(" Part\n"), x)).when(i % 7 == 4, F.concat(F.lit("\nExample (x):\n"), x)).otherwise(x))
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("path"), F.col("source").alias("book"), F.col("doc_id").cast("string").alias("chapter"), F.array_join(marks, "\n").alias("text"))
+
+
+@query()
+def fragment_chunks(spark, sf_dir):
+    from ..operators import chunk
+
+    made = chunk.fragments(_chapters(spark, sf_dir))
+    return made.select("fragment_id", "book", "chapter", "anchor", F.array_join("section_path", " / ").alias("section_path"), "kind", "heading", "n_chars", "n_tokens_est")
+
+
+@query()
+def fragments_stats(spark, sf_dir):
+    from ..operators import chunk
+
+    made = chunk.fragments(_chapters(spark, sf_dir))
+    return made.groupBy("book").agg(F.count("*").alias("n_fragments"), F.count_if(F.col("kind") == "example").alias("n_examples"), F.sum("n_chars").alias("n_chars"))
+
+
+@query()
+def answer_judge(spark, sf_dir):
+    from ..functions import answers
+
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    kind = F.element_at(F.array(*map(F.lit, ["NV", "EX", "TF", "QL", "MC"])), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    price = F.format_string("%.2f", "l_extendedprice")
+    said = F.concat(F.lit("So \\boxed{"), F.when(F.col("l_quantity") % 2 == 0, price).otherwise(F.concat(price, F.lit("1"))), F.lit("}"))
+    gold = F.concat(F.lit("\\boxed{"), price, F.lit("}"))
+    judged = lines.select("l_orderkey", "l_linenumber", kind.alias("kind"), answers.judge_column(said, gold, kind, F.lit(""), 1e-2).alias("correct"))
+    return judged.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
+
+
+@query()
+def boxed_answers(spark, sf_dir):
+    from ..functions import answers
+
+    items = read(spark, sf_dir, "benchmark")
+    boxed = F.concat(F.col("text"), F.lit(" \\boxed{"), F.left("text", F.lit(20)), F.lit("}, \\boxed{1,2}"))
+    return items.select("item_id", F.array_join(answers.extracted_column(boxed), "|").alias("answers"))
+
+
+@query()
+def quote_checks(spark, sf_dir):
+    from ..operators import verify
+
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(80)).alias("quote"), "text")
+    return items.select("item_id", verify.quote_verified(F.col("quote"), F.col("text")).alias("own"), verify.quote_verified(F.concat("quote", F.lit(" qqqqqqqqqqqqqqqqqqqqqqqq")), F.col("text")).alias("other"))
+
+
+@query("""WITH g AS (SELECT o_custkey AS c, count(*) FILTER (o_orderstatus = 'F') AS g FROM orders GROUP BY 1), s AS (SELECT c_custkey, c_mktsegment, length(c_name) AS n, coalesce(g, 0) AS g FROM customer LEFT JOIN g ON c = c_custkey)
+SELECT c_custkey, CASE WHEN g BETWEEN 1 AND 7 THEN 'near_miss' WHEN g = 0 THEN 'zero_short_solution' END AS tier, g::BIGINT AS guided_correct FROM s WHERE g <= 7""")
+def target_selection(spark, sf_dir):
+    from ..operators import guidance
+
+    orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    slots = orders.select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderstatus") == "F").alias("correctness"))
+    right = guidance.correct_counts(slots, "guided_correct", ["c_custkey"])
+    subs = customers.select("c_custkey", F.lit("NV").alias("answer_type"), F.col("c_name").alias("solution"), F.lit(None).cast("string").alias("old_guidance"))
+    base = right.select("c_custkey", F.col("guided_correct").alias("base_correct"))
+    return guidance.select_targets(subs, right, base, 2_000_000_000, ["c_custkey"]).select("c_custkey", "tier", "guided_correct")
