@@ -17,6 +17,7 @@ piece then takes the slot of its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, SparkSession, WordCache, map_rows, materialize, pick
+from .common import TOKENIZER_DIR, SparkSession, map_rows, materialize, pick
 
 #: Salts of a length; full pieces, which need no partner, are dealt wider.
 SALTS, FULL_SALTS = 64, 4096
@@ -41,23 +42,68 @@ def tokenizer_path(name: str = "word_bpe_49k.json", folder: str = TOKENIZER_DIR)
 
 
 class Encoder:
-    """Whole-text ids as little-endian uint32 bytes. The tokenizer never joins across white space, so words are encoded once each."""
+    """Whole-text ids as little-endian uint32 bytes, each word encoded once.
 
-    def __init__(self, path: str):
+    The tokenizer never joins across white space, nor a run of letters with
+    ASCII marks after it. So a word's ids are those of its lower-cased letters
+    and of its marks, and new letter runs are encoded together, in one call.
+    """
+
+    PARTS = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
+
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = WordCache(self._encode)
-
-    def _encode(self, raw: bytes) -> bytes:
-        if raw.isascii() and len(raw) > 1 and raw[-1:] in b".," and raw[-2:-1].isalpha():
-            return self.words[raw[:-1]] + self.words[raw[-1:]]
-        if raw.isascii() and raw.isalpha() and not raw.islower():
-            return self.words[raw.lower()]
-        return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.limit = limit
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.words) + len(words) > self.limit:
+            self.words.clear()
+            self.letters.clear()
+        parts, new = [], set()
+        for raw in words:
+            word = raw.decode()
+            m = self.PARTS.fullmatch(word)
+            low = m[1].lower() if m else ""
+            if not m or len(low) != len(m[1]) or "\u03a3" in word or not low.isalpha():  # lower-casing must be letter by letter
+                self.words[raw] = self._ids(word).tobytes()
+                continue
+            parts.append((raw, low, m[2]))
+            for p in (low, m[2]):
+                if p and p not in self.letters:
+                    new.add(p)
+        runs = [p for p in new if p.isalpha()]
+        ids = self._ids(" ".join(runs))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(runs):
+            data, at = ids.tobytes(), 0
+            for p, stop in zip(runs, stops.tolist()):
+                self.letters[p] = data[4 * at : 4 * stop]
+                at = stop
+        else:  # a letter the tokenizer does not take as one: word by word
+            self.letters.update((p, self._ids(p).tobytes()) for p in runs)
+        self.letters.update((p, self._ids(p).tobytes()) for p in new if not p.isalpha())
+        for raw, low, marks in parts:
+            self.words[raw] = self.letters[low] + self.letters[marks] if marks else self.letters[low]
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+        words = text.encode().split()
+        found = list(map(self.words.get, words))
+        if None in found:
+            self._learn({w for w, f in zip(words, found) if f is None})
+            found = list(map(self.words.get, words))
+            if None in found:  # emptied on the way
+                self._learn(set(words))
+                found = list(map(self.words.__getitem__, words))
+        return b"".join(found)
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
