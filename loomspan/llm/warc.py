@@ -6,8 +6,9 @@ Writing: one record per page; of pages with equal payloads of at least
 Reading: archives are read in splits, cut at CRLF CRLF. Every cut that starts
 with a WARC version line is a *candidate* record, also when it lies inside a
 payload; its task emits its offset and that of its successor by its declared
-length. From the start of each file, pointer jumping (doubling, a logarithmic
-number of joins) keeps the records on the chain; magic inside payloads is on no chain.
+length. Chains are shortened to one hop a split; then pointer jumping (doubling, a
+logarithmic number of joins) from the start of each file keeps the records on its chain.
+Magic inside payloads is on no chain.
 
 * Payloads whose end lies in another split are put together from the splits they span.
 * A null html is an empty payload; null ids and urls are left out of the header and null on reading.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -165,6 +167,36 @@ def on_chain(edges: DataFrame) -> DataFrame:
         state = materialize(marked.select("file", "at", "jump", (F.col("on") | F.coalesce("hit", F.lit(False))).alias("on")), "chain")
 
 
+def _exits(block: pd.DataFrame) -> pd.DataFrame:
+    """For each candidate of a split, where its chain leaves the split. Of a file's first split only offset 0 can be entered."""
+    leaves: dict[int, int] = {}
+    for at, after in sorted(zip(block["at"], block["next"]), reverse=True):
+        leaves[at] = leaves.get(after, after)
+    out = block.assign(next=[leaves[a] for a in block["at"]])
+    return out[out["at"] == 0] if block["block"].iloc[0] == 0 else out
+
+
+def _followed(block: pd.DataFrame) -> pd.DataFrame:
+    """The candidates of a split on the chains from its entries."""
+    after = dict(zip(block["at"], block["next"]))
+    seen: set[int] = set()
+    for at in block.loc[block["entry"], "at"]:
+        while at in after and at not in seen:
+            seen.add(at)
+            at = after[at]
+    return block.loc[block["at"].isin(seen), ["file", "at"]]
+
+
+def chained(edges: DataFrame) -> DataFrame:
+    """:func:`on_chain` over (file, block, at, next): chains are shortened to one hop a split first, so the
+    joins run over splits, and their rounds are the logarithm of a file's splits. A group is the candidates of one split."""
+    edges = materialize(edges, "warc-edges")
+    hops = edges.groupBy("file", "block").applyInPandas(_exits, edges.schema)
+    entries = on_chain(hops.select("file", "at", "next")).withColumn("entry", F.lit(True))
+    marked = edges.join(entries, ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    return marked.groupBy("file", "block").applyInPandas(_followed, "file string, at long")
+
+
 def read_warc(spark: SparkSession, path: str, keep_body: bool = False) -> DataFrame:
     """file, at, header, length, digest (of the stored payload) and body (if kept) of the records on each file's chain."""
     seen = materialize(_cuts(spark, path).mapInArrow(lambda batches: _scan(batches, keep_body), _CANDIDATE_DDL), "warc-candidates")
@@ -175,8 +207,8 @@ def read_warc(spark: SparkSession, path: str, keep_body: bool = False) -> DataFr
         "file", "block", "kind", "header", "length", "digest", "body", (F.col("base") + F.col("at")).alias("at"),
         (F.col("base") + F.col("at") + F.col("head")).alias("body_at"),
     )
-    edges = found.select("file", "at", (F.col("body_at") + F.col("length") + 4).alias("next"))
-    good = found.join(on_chain(edges), ["file", "at"])
+    edges = found.select("file", "block", "at", (F.col("body_at") + F.col("length") + 4).alias("next"))
+    good = found.join(chained(edges), ["file", "at"])
     whole = good.where("kind = 'whole'").select("file", "at", "header", "length", "digest", "body")
     split = materialize(good.where("kind = 'open'").select("file", "at", "header", "length", "body_at"), "warc-split")
     if split.isEmpty():
