@@ -46,6 +46,7 @@ def frequent_keys(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     pairs = map_rows(pick(docs, "doc_id", "text"), "doc_id long, key binary", lines, 2).distinct()
     pairs = materialize(pairs, "line-keys")  # read twice: for the count and for what the count drops
     counted = pairs.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs).select("key")
+    counted = materialize(counted, "frequent-keys")  # so that the join reads two plain exchanges, whose hot keys are split
     return pairs.join(counted, "key", "left_semi")
 
 
