@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 RRF_K = 60
 OUT_OF_DOMAIN = 0.6
 
@@ -18,8 +20,9 @@ def split_terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
-    """(doc, term, tf, dl): term counts and document lengths."""
-    sized = docs.select(doc, F.size(terms).alias("dl"), F.explode(terms).alias("term"))
+    """(doc, term, tf, dl): term counts and document lengths. The array is a column first: what stands beside explode() is computed per term."""
+    listed = docs.select(doc, terms.alias("__k"))
+    sized = listed.select(doc, "__k", F.size("__k").alias("dl")).select(doc, "dl", F.explode("__k").alias("term"))
     return sized.groupBy(doc, "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -28,7 +31,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str =
     """(query, doc, score > 0). Negative idf becomes epsilon times the mean idf; repeated query terms count as often."""
     dt = split_terms(F.lower("text")) if doc_terms is None else doc_terms
     qt = split_terms(F.lower("text")) if query_terms is None else query_terms
-    post = postings(docs, doc, dt)
+    post = materialize(postings(docs, doc, dt), "postings")  # read for df, idf and scores; texts are split once
     size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(dt)).alias("avgdl"))
     df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))  # size is one row
     raw = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -36,6 +39,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str =
     asked = queries.select(query, F.explode(qt).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
     weights = asked.join(raw, "term").crossJoin(F.broadcast(floor))
     weights = weights.withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))
+    weights = materialize(weights, "query-weights").select(query, "term", "qf", "idf", "avgdl")
     hit = post.join(weights, "term")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy(query, doc).agg(F.sum(part).alias("score")).where("score > 0")

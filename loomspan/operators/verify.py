@@ -41,7 +41,7 @@ def quote_verified(quote: Column, text: Column) -> Column:
 
 def clamp_score(column: str) -> Column:
     """0..3; what is no integer is 0."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(3), F.expr(f"try_cast({column} AS int)"))), F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(3), F.coalesce(F.expr(f"try_cast({column} AS int)"), F.lit(0))))
 
 
 def parsed_replies(replies: DataFrame, key: str = "kp_id", reply: str = "reply") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 KNOWLEDGE_POINT = "struct<type:string,name:string,description:string,source:string,keywords:array<string>>"
 SUB_PROBLEM = (
@@ -31,7 +31,7 @@ MATCH_FIELDS = (
 
 
 def schema(fields: str) -> StructType:
-    return _parse_datatype_string(fields)
+    return StructType.fromDDL(fields)
 
 
 def parents() -> StructType:

@@ -106,7 +106,7 @@ def resolve_books(chapters: DataFrame, catalogue: DataFrame, folder: str = "fold
 
 def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(path, text) of whole files."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -117,7 +117,7 @@ def prompt_history(spark: SparkSession, path: str) -> DataFrame:
     one = F.from_json("value", schema)
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     rows = F.filter(F.transform(lines, lambda x: F.from_json(x, schema)), lambda r: r["system_prompt"].isNotNull())
-    plain = F.array(F.struct(F.lit(None).cast("int").alias("iteration"), F.lit(None).cast("int").alias("rollouts"), F.lit(None).cast("double").alias("score"), F.trim("value").alias("system_prompt")))
+    plain = F.array(F.struct(F.lit(None).cast("int").alias("iteration"), F.lit(None).cast("int").alias("rollouts"), F.lit(None).cast("double").alias("score"), F.regexp_replace("value", r"^\s+|\s+\z", "").alias("system_prompt")))
     chosen = F.when(F.size(rows) > 0, rows).when(one["system_prompt"].isNotNull(), F.array(one)).otherwise(plain)
     return whole.select(F.posexplode(chosen).alias("position", "r")).select("position", "r.*")
 
