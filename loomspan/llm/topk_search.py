@@ -52,6 +52,7 @@ class PivotTable:
         self.exact_float = not x.size or float(np.abs(x).max()) ** 2 * max(1, x.shape[1]) < 2**52
         f = self.x.astype(np.float64)
         self.f = f
+        self.largest = float(np.abs(f).max(initial=0))
         self.square = (f * f).sum(1)
         self.p = pivots(x.shape[1]) * np.sqrt(self.square.mean() if len(f) else 1.0)
         self.to_pivots = self._distances(f, self.square)
@@ -68,20 +69,42 @@ class PivotTable:
         lower = np.abs(self.to_pivots - d).max(1) if self.p.size else np.zeros(len(self.ids))
         slack = 1 + 1e-9 * (q_square + self.square)  # scores are integers; rounding never hides one
         upper = (q_square + self.square - lower * lower) / 2 + slack
-        order = np.argsort(-upper, kind="stable")
-        exact = self.exact_float and float(np.abs(qf).max(initial=0)) * float(np.abs(self.f).max(initial=0)) * max(1, len(qf)) < 2**52
+        exact = self.exact_float and float(np.abs(qf).max(initial=0)) * self.largest * max(1, len(qf)) < 2**52
         best: list[tuple[int, int]] = []
-        for at in range(0, len(order), SLICE):
-            if len(best) == k and upper[order[at]] < best[-1][0]:
+        left = np.arange(len(self.ids))
+        while len(left):
+            # The next slice in bound order, then only what its k-th score leaves possible.
+            first = left if len(left) <= SLICE else left[np.argpartition(-upper[left], SLICE - 1)[:SLICE]]
+            if len(best) == k and len(left) > len(self.ids) // 8:
+                first = left  # too many to pick from: one product over all of them
+            scores = self._scores(first, q, qf, exact)
+            self.evaluated += len(first)
+            good = self.ids[first] != query_id
+            if len(best) == k:
+                good &= scores >= best[-1][0]
+            some, scores = first[good], scores[good]
+            if len(some) > k:  # the k best of them, and all that tie with the last
+                keep = scores >= -np.partition(-scores, k - 1)[k - 1]
+                some, scores = some[keep], scores[keep]
+            ids = self.ids[some]
+            if len(some) > 4 * k:
+                order = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[order], scores[order]
+            best = sorted([*best, *((int(s), int(i)) for s, i in zip(scores, ids))], key=lambda t: (-t[0], t[1]))[:k]
+            if len(first) == len(left):
                 break
-            some = order[at : at + SLICE]
-            self.evaluated += len(some)
-            scores = (self.f[some] @ qf).astype(np.int64) if exact else self.x[some] @ q
-            best += [(int(s), int(i)) for s, i in zip(scores, self.ids[some]) if i != query_id]
-            best.sort(key=lambda t: (-t[0], t[1]))
-            del best[k:]
+            rest = np.ones(len(self.ids), dtype=bool)
+            rest[first] = False
+            left = left[rest[left]]
+            if len(best) == k:
+                left = left[upper[left] >= best[-1][0]]
         return best
 
+    def _scores(self, some: np.ndarray, q: np.ndarray, qf: np.ndarray, exact: bool) -> np.ndarray:
+        if len(some) > len(self.ids) // 8:
+            return (self.f @ qf).astype(np.int64)[some] if exact else (self.x @ q)[some]
+        return (self.f[some] @ qf).astype(np.int64) if exact else self.x[some] @ q
+
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, rows_per_block: int = 20_000, queries_per_block: int = 2_000, **columns) -> DataFrame:
     """query_id, rank, vec_id, score: for ids divisible by ``every``, their ``k`` best among all other rows."""
