@@ -169,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, max_ngrams: int = 250_000, max_cal
     rows = pick(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     clean = rows.groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("__high")).where("label = __high").select("doc_id", "label")
     texts = pick(docs, "doc_id", "text")
-    counts = materialize(gram_counts(texts.join(clean.where(fold(F.col("doc_id")) != 4), "doc_id")), "toxic-grams")
+    # Labels grow with the documents, so both sides are dealt by id at every size.
+    counts = materialize(gram_counts(texts.hint("merge").join(clean.where(fold(F.col("doc_id")) != 4), "doc_id")), "toxic-grams")
     # The least count that leaves max_ngrams at most, from the counts' own (small) histogram.
     kept, least = 0, 1
     capped = F.least(F.col("ordinary") + F.col("toxic"), F.lit(1_000_000)).alias("n")
