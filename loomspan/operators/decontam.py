@@ -7,6 +7,7 @@ whether the item side is broadcast.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def _gram_hashes(keys: Column, n: int) -> Column:
     at = F.sequence(F.lit(0), F.size(keys) - n)
 
     def one(i):
-        gram = F.slice(keys, i + 1, n)
+        gram = F.slice(keys, i + 1, n)  # of token hashes: a gram is 8 n bytes to hash, not n strings
         return F.struct(i.alias("p"), F.xxhash64(gram).alias("h1"), F.xxhash64(F.lit(1), gram).alias("h2"))
 
     empty = F.expr("cast(array() as array<struct<p:int,h1:bigint,h2:bigint>>)")
@@ -34,10 +35,11 @@ def long_fields(items: DataFrame, id_cols: list[str], fields: list[str]) -> Data
 def marked_tokens(items: DataFrame, texts: DataFrame, n: int = 13, item: str = "item_id", doc: str = "doc_id", source: str | None = None) -> DataFrame:
     """(item, doc, pos, n_keys): token positions of ``texts`` covered by an n-gram shared with an item of at least n tokens."""
     by = [source] if source else []
-    keyed = items.select(item, *by, T.tokens("text").alias("k")).where(F.size("k") >= n)
+    hashed = lambda: F.transform(T.tokens("text"), lambda t: F.xxhash64(t)).alias("k")
+    keyed = items.select(item, *by, hashed()).where(F.size("k") >= n)
     seeds = keyed.select(item, *by, F.size("k").alias("n_keys"), F.explode(_gram_hashes(F.col("k"), n)).alias("g"))
     seeds = seeds.select(item, *by, "n_keys", F.col("g.h1").alias("h1"), F.col("g.h2").alias("h2")).distinct()
-    probes = texts.select(doc, *by, T.tokens("text").alias("k")).select(doc, *by, F.explode(_gram_hashes(F.col("k"), n)).alias("g"))
+    probes = texts.select(doc, *by, hashed()).select(doc, *by, F.explode(_gram_hashes(F.col("k"), n)).alias("g"))
     probes = probes.select(doc, *by, F.col("g.p").alias("p"), F.col("g.h1").alias("h1"), F.col("g.h2").alias("h2"))
     hits = probes.join(seeds, [*by, "h1", "h2"]).select(item, doc, "p", "n_keys")
     return hits.select(item, doc, "n_keys", F.explode(F.sequence(F.col("p"), F.col("p") + n - 1)).alias("pos")).distinct()
@@ -77,18 +79,31 @@ def merge_spans(spans: DataFrame, doc: str = "doc_id", start: str = "s", end: st
     return isle.groupBy(doc, "__isle").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__isle")
 
 
+def redact_text(text: str, runs: list[tuple[int, int]], placeholder: str) -> tuple[str, int]:
+    """``text`` with its token runs (first, last) replaced; runs that overlap or touch are one."""
+    spans = T.token_spans(text)
+    merged: list[list[int]] = []
+    for s, e in sorted((spans[a][1], spans[b][2]) for a, b in runs):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    for s, e in reversed(merged):
+        text = text[:s] + placeholder + text[e:]
+    return text, len(merged)
+
+
 def redact(texts: DataFrame, hits: DataFrame, placeholder: str = "[REDACTED]", doc: str = "doc_id") -> DataFrame:
-    """``texts`` with the token runs of ``hits`` replaced; documents without a hit stay as they are."""
-    toks = texts.select(F.col(doc), F.posexplode(T.tokens_with_spans("text")).alias("p", "t")).select(doc, "p", F.col("t.s").alias("s"), F.col("t.e").alias("e"))
-    first = hits.join(toks.select(doc, F.col("p").alias("start_tok"), "s"), [doc, "start_tok"])
-    spans = merge_spans(first.join(toks.select(doc, F.col("p").alias("end_tok"), "e"), [doc, "end_tok"]).select(doc, "s", "e"), doc)
-    packed = spans.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__spans"), F.count("*").alias("n_spans"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("__spans", start, lambda a, x: F.struct(
-        x["e"].alias("at"), F.concat(a["out"], F.substring("text", a["at"] + 1, x["s"] - a["at"]), F.lit(placeholder)).alias("out")))
-    tail = F.concat(cut["out"], F.substring("text", cut["at"] + 1, F.length("text")))
-    joined = texts.join(packed, doc, "left")
-    return joined.select(doc, F.when(F.col("__spans").isNull(), F.col("text")).otherwise(tail).alias("text"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"))
+    """``texts`` with the token runs of ``hits`` (start_tok, end_tok) replaced; documents without a hit don't pass through Python."""
+    packed = hits.groupBy(doc).agg(F.collect_set(F.struct("start_tok", "end_tok")).alias("__runs"))
+
+    @F.pandas_udf("struct<text:string,n_spans:long>")
+    def run(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([redact_text(t, [(r["start_tok"], r["end_tok"]) for r in rs], placeholder) for t, rs in zip(text, runs)], columns=["text", "n_spans"])
+
+    made = texts.select(doc, "text").join(packed, doc).select(doc, run("text", "__runs").alias("r")).select(doc, "r.text", "r.n_spans")
+    rest = texts.join(packed.select(doc), doc, "left_anti").select(doc, "text", F.lit(0).cast("long").alias("n_spans"))
+    return made.unionByName(rest)
 
 
 def uncovered_sources(items: DataFrame, books: DataFrame, source: str = "source") -> DataFrame:
