@@ -59,7 +59,8 @@ j AS (SELECT r, max(d) FILTER (hist = 'c') AS dc, max(d) FILTER (hist = 'w') AS
 SELECT s.doc_id, s.n_words::BIGINT AS n_words, s.word_chars::BIGINT AS word_chars, s.c4::BIGINT AS n_symbols, s.n_dup_lines::BIGINT AS n_dup_lines,
   s.n_repeat_words::BIGINT AS n_repeat_words, s.base_failed,
   NOT s.base_failed AND (s.n_words < {rules.min_words} OR coalesce(refw.n, 0) < {rules.min_reference_words}
-    OR (coalesce(j.dc, 0) <= {rules.max_class_distance} AND coalesce(j.dw, 0) <= {rules.max_word_distance})) AS kept
+    OR (coalesce(j.dc, 0) <= {rules.max_class_distance} + {rules.length_slack} / sqrt(greatest(s.n_words, 1))
+      AND coalesce(j.dw, 0) <= {rules.max_word_distance} + {rules.length_slack} / sqrt(greatest(s.n_words, 1)))) AS kept
 FROM s LEFT JOIN j ON j.r = s.r LEFT JOIN refw ON refw.lang IS NOT DISTINCT FROM s.lang
 """
 

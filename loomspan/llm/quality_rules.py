@@ -6,6 +6,8 @@ language's reference by Jensen-Shannon distance (base 2, so 0 to 1).
 * Words are runs outside ``[\\x20\\x09-\\x0D]``; a null text has none.
 * References are pooled counts over all documents of a language (the ``lang``
   column) that pass the base rules; integers, so every engine agrees on them.
+* A distance may exceed its limit by ``length_slack`` over the root of the words: short
+  histograms scatter that much by chance.
 * Guards: a histogram of fewer than ``min_words`` words gives no verdict, nor does a
   language whose reference has fewer than ``min_reference_words`` words; the
   document is then kept. A null or unknown ``lang`` is a language like any other,
@@ -38,10 +40,11 @@ SYMBOLS = r"[#*$%&|<>]"
 class QualityRules:
     min_base_words: int = 50
     max_repeat_percent: int = 50
-    min_words: int = 80
+    min_words: int = 60
     min_reference_words: int = 1000
-    max_class_distance: float = 0.3
-    max_word_distance: float = 0.37
+    max_class_distance: float = 0.2
+    max_word_distance: float = 0.26
+    length_slack: float = 0.8
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
     @property
@@ -159,7 +162,8 @@ def judge(stats: DataFrame, references: DataFrame, rules: QualityRules = Quality
         "word_distance": js_distance("__word_counts", "__ref_word"),
     })
     guarded = (F.col("n_words") < rules.min_words) | (F.coalesce("__ref_words", F.lit(0)) < rules.min_reference_words)
-    fits = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
+    slack = rules.length_slack / F.sqrt(F.greatest("n_words", F.lit(1)))
+    fits = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance + slack) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance + slack)
     # least() of the two is their conjunction, as one predicate: halves of it are not pushed below the arrays either.
     return measured.withColumn("kept", F.least(~F.col("base_failed"), guarded | fits))
 
