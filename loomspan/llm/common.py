@@ -6,14 +6,16 @@ name and position, so extra columns (clashing names included) never matter.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize, scratch_dir, scratch_path
+
+__all__ = ["discard", "materialize", "scratch_dir", "scratch_path"]
+
 #: White space of every word and line rule here, as a Java and RE2 character class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -30,36 +32,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*unique).select(*(F.col(unique[i]).alias(n) for i, n in zip(at, names)))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="loomspan-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/loomspan/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], n_in: int) -> DataFrame:
     """mapInArrow over rows: ``make()`` runs once a task and returns f(*row) -> iterable of output tuples.
 

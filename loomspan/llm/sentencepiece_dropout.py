@@ -51,8 +51,13 @@ class DropoutBpe:
         hidden = set(self.bytes) | {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.id_of = {p: i for i, p in enumerate(self.pieces) if i not in hidden}
         self.score = {p: model.get_score(i) for p, i in self.id_of.items()}
+        # Marks that no piece has behind a letter: no merge crosses such a place, so units are cut there.
+        joined = {p[i] for p in self.id_of for i in range(1, len(p)) if p[i - 1].isalpha()}
+        marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
+        self.cut = re.compile(f"({META}*[^\\W\\d_]+)([{marks}].*)", re.S) if marks else None
+        self.text_of = [bytes((self.byte_of[i],)) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
         self.dropout, self.seed, self.variants = int(dropout * 2**64), seed, variants if dropout else 1
-        self.caches = [WordCache(lambda u, v=v: self._ids(u, v), 250_000 // self.variants) for v in range(self.variants)]
+        self.caches = [WordCache(lambda u, v=v: self._ids(u, v), 600_000 // self.variants) for v in range(self.variants)]
 
     def skipped(self, left: str, right: str, place: int, variant: int) -> bool:
         return xxhash.xxh64_intdigest(f"{variant}\0{left}\0{right}\0{place}", self.seed) < self.dropout
@@ -88,6 +93,9 @@ class DropoutBpe:
         return [p for p in parts if p]
 
     def _ids(self, unit: str, variant: int) -> bytes:
+        if self.cut and (m := self.cut.fullmatch(unit)):
+            cache = self.caches[variant]
+            return cache[m[1]] + cache[m[2]]
         out: list[int] = []
         for p in self.segment(unit, variant):
             i = self.id_of.get(p)
@@ -107,12 +115,8 @@ class DropoutBpe:
         return b"".join([caches[(first + k * 2654435761 >> 7) % v][u] for k, u in enumerate(units)])
 
     def decode(self, ids: bytes) -> str:
-        out: list[bytes] = []
-        byte_of, pieces = self.byte_of, self.pieces
-        for i in np.frombuffer(ids, dtype="<u4").tolist():
-            b = byte_of.get(i)
-            out.append(bytes((b,)) if b is not None else pieces[i].encode())
-        return b"".join(out)[3:].decode("utf-8", "replace").replace(META, " ")
+        joined = b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return joined[3:].decode("utf-8", "replace").replace(META, " ")
 
 
 def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 13, variants: int = 2, path: str | None = None, with_ids: bool = False) -> DataFrame:
