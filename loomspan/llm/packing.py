@@ -51,7 +51,7 @@ class Encoder:
 
     PARTS = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,6 +67,7 @@ class Encoder:
     def _learn(self, words: set[bytes]) -> None:
         if len(self.words) + len(words) > self.limit:
             self.words.clear()
+        if len(self.letters) > 2 * self.limit:  # what words are made of outlasts them
             self.letters.clear()
         parts, new = [], set()
         for raw in words:
