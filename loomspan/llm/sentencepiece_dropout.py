@@ -39,6 +39,19 @@ def model_path(name: str = "piece_bpe_32k.model", folder: str = TOKENIZER_DIR) -
         return f"{folder}/{name}"
 
 
+class UnitCache(WordCache):
+    """unit -> ids. A unit with marks behind its letters is put together from its two parts and not kept itself."""
+
+    def __init__(self, cut: re.Pattern | None, compute, limit: int):
+        super().__init__(compute, limit)
+        self.cut = cut
+
+    def __missing__(self, unit: str) -> bytes:
+        if self.cut and (m := self.cut.fullmatch(unit)):
+            return self[m[1]] + self[m[2]]
+        return super().__missing__(unit)
+
+
 class DropoutBpe:
     def __init__(self, path: str, dropout: float = 0.1, seed: int = 13, variants: int = 2):
         from sentencepiece import SentencePieceProcessor
@@ -57,13 +70,37 @@ class DropoutBpe:
         self.cut = re.compile(f"({META}*[^\\W\\d_]+)([{marks}].*)", re.S) if marks else None
         self.text_of = [bytes((self.byte_of[i],)) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
         self.dropout, self.seed, self.variants = int(dropout * 2**64), seed, variants if dropout else 1
-        self.caches = [WordCache(lambda u, v=v: self._ids(u, v), 600_000 // self.variants) for v in range(self.variants)]
+        self.caches = [UnitCache(self.cut, lambda u, v=v: self._ids(u, v), 1_500_000 // self.variants) for v in range(self.variants)]
 
     def skipped(self, left: str, right: str, place: int, variant: int) -> bool:
         return xxhash.xxh64_intdigest(f"{variant}\0{left}\0{right}\0{place}", self.seed) < self.dropout
 
     def segment(self, unit: str, variant: int = 0) -> list[str]:
         """Merge by the agenda: highest score first, ties from the left; a skipped pair waits for a new neighbour."""
+        return self._scan(unit, variant) if len(unit) <= 48 else self._agenda(unit, variant)
+
+    def _scan(self, unit: str, variant: int) -> list[str]:
+        """The agenda of a short unit as a list of its pairs' scores: the same merges in the same order."""
+        score, never = self.score.get, -1e30
+        parts, places = list(unit), list(range(len(unit)))
+        pairs = [score(a + b, never) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == never:
+                break
+            i = pairs.index(best)
+            if self.dropout and self.skipped(parts[i], parts[i + 1], places[i], variant):
+                pairs[i] = never
+                continue
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del places[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], never)
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], never)
+        return parts
+
+    def _agenda(self, unit: str, variant: int) -> list[str]:
         parts = list(unit)
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -93,9 +130,6 @@ class DropoutBpe:
         return [p for p in parts if p]
 
     def _ids(self, unit: str, variant: int) -> bytes:
-        if self.cut and (m := self.cut.fullmatch(unit)):
-            cache = self.caches[variant]
-            return cache[m[1]] + cache[m[2]]
         out: list[int] = []
         for p in self.segment(unit, variant):
             i = self.id_of.get(p)
