@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-CONFIGS = ("competition", "competition_hard", "competition_train", "textbook", "textbook_hard", "textbook_train", "transfer", "sanity")
+# The configurations of the published dataset.
+CONFIGS = ("apho", "eupho", "ioaa", "ipho", "nbpho", "opho", "textbook_astro", "textbook_physics")
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
