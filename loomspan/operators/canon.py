@@ -58,3 +58,13 @@ def lookup(entities: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     names = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array()))
     each = entities.select("type", "kp_id", ordinal, F.explode(names).alias("name")).withColumn("norm", T.normalise_name("name"))
     return each.groupBy("type", "norm").agg(F.max_by("kp_id", ordinal).alias("kp_id"))
+
+
+def label_histogram(points: DataFrame, *columns: str) -> DataFrame:
+    """(label, value, n) of each column's values, in one pass over the points."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return points.select(pairs.alias("p")).groupBy(F.col("p.label").alias("label"), F.col("p.value").alias("value")).agg(F.count("*").alias("n"))
+
+
+def points_per_sub(points: DataFrame, sub: str = "sub_id") -> DataFrame:
+    return points.groupBy(sub).agg(F.count("*").alias("n_points")).groupBy("n_points").agg(F.count("*").alias("n_subs"))

@@ -71,3 +71,25 @@ def totals(scores: DataFrame) -> DataFrame:
     """Entities, covered (2 or more), strongly covered, without any match."""
     covered = (F.col("n_strong") > 0) | (F.col("n_partial") > 0)
     return scores.agg(F.count("*").alias("n_kps"), F.count_if(covered).alias("n_covered"), F.count_if(F.col("n_strong") > 0).alias("n_strong"), F.count_if(~covered).alias("n_uncovered"))
+
+
+def contributions(matches: DataFrame) -> DataFrame:
+    """Per book: entities it covers (best score 2 or more), and those it covers strongly."""
+    best = matches.where("score >= 2").groupBy("book", "kp_id").agg(F.max("score").alias("s"))
+    return best.groupBy("book").agg(F.count("*").alias("n_covered"), F.count_if(F.col("s") == 3).alias("n_strong"))
+
+
+def extremes(entities: DataFrame, covered: bool, k: int, uses: str = "n_sub_problems") -> DataFrame:
+    """The ``k`` most used entities that are covered, or that are not."""
+    has = (F.coalesce("n_strong", F.lit(0)) + F.coalesce("n_partial", F.lit(0))) >= 1
+    return entities.where(has if covered else ~has).orderBy(F.desc(uses), "kp_id").limit(k)
+
+
+def match_blocks(matches: DataFrame, scores: DataFrame, entities: DataFrame) -> DataFrame:
+    """Per entity: counts and its best expositions and examples as arrays; unverified entities get the default block."""
+    top = top_matches(matches).groupBy("kp_id", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", F.struct("fragment_id", "score", "quote_verified").alias("m")))), lambda x: x["m"]).alias("ms"))
+    wide = top.groupBy("kp_id").agg(F.collect_list(F.struct("kind", "ms")).alias("all"))
+    of = lambda kind: F.flatten(F.transform(F.filter(F.coalesce("all", F.array()), lambda x: x["kind"] == kind), lambda x: x["ms"]))
+    joined = entities.select("kp_id").join(scores.select("kp_id", "n_strong", "n_partial"), "kp_id", "left").join(wide, "kp_id", "left")
+    return joined.select("kp_id", F.coalesce("n_strong", F.lit(0)).alias("n_strong"), F.coalesce("n_partial", F.lit(0)).alias("n_partial"), of("exposition").alias("top_exposition"),
+                         of("example").alias("top_example"), F.when(F.col("n_strong").isNull(), NOT_VERIFIED).alias("verifier_error"))

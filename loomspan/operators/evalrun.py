@@ -111,3 +111,35 @@ def as_of(history: DataFrame, at: DataFrame, key: str, order: str, limit: str) -
     """The last history row of each key with ``order`` <= ``limit`` (all of it where limit is null)."""
     joined = at.join(history, key).where(F.col(limit).isNull() | (F.col(order) <= F.col(limit)))
     return joined.groupBy(key).agg(F.max_by(F.struct(*history.columns), F.col(order)).alias("r")).select("r.*")
+
+
+def flatten_attempts(dump: DataFrame, key: str = "parent_index") -> DataFrame:
+    """Nested parents (attempts[].completions[]) to one row per slot: key, attempt position and id, slot_index, completion fields."""
+    attempts = dump.select(key, F.posexplode("attempts").alias("position", "a"))
+    slots = attempts.select(key, "position", F.col("a.attempt_id").alias("attempt_id"), F.posexplode("a.completions").alias("slot_index", "c"))
+    return slots.select(key, "position", "attempt_id", "slot_index", "c.*")
+
+
+def nest_attempts(slots: DataFrame, fields: list[str], key: str = "parent_index") -> DataFrame:
+    """The way back: attempts in the order of their ids, slots in theirs, an attempt correct if it has slots and all are."""
+    per = slots.groupBy(key, "attempt_id").agg(
+        F.array_sort(F.collect_list(F.struct("slot_index", F.struct(*fields).alias("c")))).alias("s"),
+        F.min(F.coalesce("correctness", F.lit(False)).cast("int")).cast("boolean").alias("correctness"),
+    )
+    attempt = F.struct("attempt_id", "correctness", F.transform("s", lambda x: x["c"]).alias("completions"))
+    return per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("attempt_id", attempt.alias("a")))).alias("x")).select(key, F.transform("x", lambda x: x["a"]).alias("attempts"))
+
+
+def write_back(parents: DataFrame, subs: DataFrame, fields: list[str], key: str = "parent_index", order: str = "slot_index") -> DataFrame:
+    """Parents with their sub_problems replaced by rows of ``subs``, in order; parents without any keep what they had."""
+    made = subs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("s")))), lambda x: x["s"]).alias("__subs"))
+    joined = parents.join(made, key, "left")
+    own = lambda: F.transform("sub_problems", lambda x: F.struct(*(x[f].alias(f) for f in fields)))
+    kept = F.coalesce("__subs", own()) if "sub_problems" in parents.columns else F.col("__subs")
+    return joined.withColumn("sub_problems", kept).drop("__subs")
+
+
+def slot_count_drift(slots: DataFrame, key: str = "parent_index") -> DataFrame:
+    """Parents whose attempts differ in their number of slots."""
+    per = slots.groupBy(key, "attempt_id").agg(F.count("*").alias("n"))
+    return per.groupBy(key).agg(F.min("n").alias("least"), F.max("n").alias("most")).where("least <> most")

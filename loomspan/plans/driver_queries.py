@@ -586,3 +586,29 @@ def target_selection(spark, sf_dir):
     subs = customers.select("c_custkey", F.lit("NV").alias("answer_type"), F.col("c_name").alias("solution"), F.lit(None).cast("string").alias("old_guidance"))
     base = right.select("c_custkey", F.col("guided_correct").alias("base_correct"))
     return guidance.select_targets(subs, right, base, 2_000_000_000, ["c_custkey"]).select("c_custkey", "tier", "guided_correct")
+
+
+@query(_MATCHES + """, b AS (SELECT kp_id, book, max(score) AS s FROM m WHERE score >= 2 GROUP BY ALL)
+SELECT book, count(*)::BIGINT AS n_covered, count(*) FILTER (s = 3)::BIGINT AS n_strong FROM b GROUP BY book""")
+def book_contributions(spark, sf_dir):
+    return coverage.contributions(_matches(spark, sf_dir))
+
+
+@query("""SELECT 'lang' AS label, lang AS value, count(*)::BIGINT AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*)::BIGINT FROM documents GROUP BY source""")
+def label_histogram(spark, sf_dir):
+    return canon.label_histogram(read(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query("""WITH n AS (SELECT conv_id, count(*) AS n_points FROM conversations GROUP BY conv_id) SELECT n_points::BIGINT AS n_points, count(*)::BIGINT AS n_subs FROM n GROUP BY n_points""")
+def points_per_sub(spark, sf_dir):
+    return canon.points_per_sub(read(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query(_SLOTS + """SELECT parent AS parent_index, count(*)::BIGINT AS n_slots, count(DISTINCT attempt)::BIGINT AS n_attempts, min(attempt) AS first_attempt,
+  count(*) FILTER (coalesce(correct, false))::BIGINT AS n_right FROM s GROUP BY parent""")
+def nested_round_trip(spark, sf_dir):
+    """Slots nested to parents with attempts, and flattened again."""
+    slots = _slots(spark, sf_dir).select(F.col("parent").alias("parent_index"), F.col("attempt").alias("attempt_id"), F.col("slot").alias("slot_index"), F.col("correct").alias("correctness"), "kind")
+    back = evalrun.flatten_attempts(evalrun.nest_attempts(slots, ["correctness", "kind"]))
+    return back.groupBy("parent_index").agg(F.count("*").alias("n_slots"), F.count_distinct("attempt_id").alias("n_attempts"), F.min("attempt_id").alias("first_attempt"),
+                                            F.count_if(F.coalesce("correctness", F.lit(False))).alias("n_right"))

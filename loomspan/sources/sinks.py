@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +46,14 @@ def table_text(df: DataFrame, title: str | None = None, most: int = 1000) -> str
     width = [max(len(h), *(len(r[i]) for r in rows)) if rows else len(h) for i, h in enumerate(heads)]
     line = lambda cells: "| " + " | ".join(c.ljust(w) for c, w in zip(cells, width)) + " |"
     return "\n".join([*([f"## {title}", ""] if title else []), line(heads), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, rows)]) + "\n"
+
+
+def run_name(model: str, dataset: str, method: str | None = None, **limits) -> str:
+    """Folder of a run: model, data, method and the limits that select a prompt, in characters any file system takes."""
+    parts = [model.rstrip("/").split("/")[-1], dataset.split("/")[-1].removesuffix(".json"), method, *(f"{k}{v}" for k, v in sorted(limits.items()) if v is not None)]
+    return "_".join(re.sub(r"[^A-Za-z0-9.-]+", "-", str(p)) for p in parts if p)
+
+
+def write_sidecar(spark, path: str, meta: dict) -> None:
+    """What a run was made with, beside its output."""
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -264,3 +264,25 @@ def test_file_stream_upserts(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(src)
         incremental.file_stream(spark, src, df.schema, str(tmp_path / "cp"), step).awaitTermination(60)
     assert rows(incremental.current(spark, out, ["k"]), "k", "v") == [(1, "A"), (2, "C"), (3, "D")]
+
+
+def test_nesting(spark):
+    slots = spark.createDataFrame([(1, 1, 0, True, "a"), (1, 0, 1, None, "c"), (1, 0, 0, True, "b"), (2, 0, 0, False, "d")], "parent_index int, attempt_id int, slot_index int, correctness boolean, completion string")
+    nested = evalrun.nest_attempts(slots, ["completion", "correctness"])
+    one = nested.where("parent_index = 1").first()["attempts"]
+    assert [(a["attempt_id"], a["correctness"], [c["completion"] for c in a["completions"]]) for a in one] == [(0, False, ["b", "c"]), (1, True, ["a"])]
+    assert rows(evalrun.flatten_attempts(nested).select("parent_index", "attempt_id", "slot_index", "completion")) == rows(slots.select("parent_index", "attempt_id", "slot_index", "completion"))
+    assert rows(evalrun.slot_count_drift(slots), "parent_index") == [(1,)]
+    parents = spark.createDataFrame([(1, [("x",)]), (9, [("keep",)])], "parent_index int, sub_problems array<struct<completion:string>>")
+    out = evalrun.write_back(parents, slots.where("attempt_id = 0"), ["completion"])
+    assert sorted((r["parent_index"], [s["completion"] for s in r["sub_problems"]]) for r in out.collect()) == [(1, ["b", "c"]), (9, ["keep"])]
+
+
+def test_blocks_and_extremes(spark):
+    m = spark.createDataFrame([("k", "exposition", "f1", 3, True, 1), ("k", "example", "f2", 2, True, 1)], "kp_id string, kind string, fragment_id string, score int, quote_verified boolean, candidate_rank int")
+    e = spark.createDataFrame([("k", 5), ("z", 9)], "kp_id string, n_sub_problems int")
+    out = {r["kp_id"]: r for r in coverage.match_blocks(m, coverage.score_counts(m), e).collect()}
+    assert [x["fragment_id"] for x in out["k"]["top_exposition"]] == ["f1"] and [x["fragment_id"] for x in out["k"]["top_example"]] == ["f2"] and out["k"]["verifier_error"] is None
+    assert out["z"]["top_exposition"] == [] and out["z"]["verifier_error"] == coverage.NOT_VERIFIED
+    scored = e.join(coverage.score_counts(m), "kp_id", "left")
+    assert rows(coverage.extremes(scored, True, 5), "kp_id") == [("k",)] and rows(coverage.extremes(scored, False, 5), "kp_id") == [("z",)]

@@ -159,3 +159,13 @@ def test_corpus_job(spark, tmp_path):
     items = spark.createDataFrame([("bookA", "i1", passage)], "source string, item_id string, problem string")
     made = jobs.corpus_job(spark, str(tmp_path / "out"), str(tmp_path / "in"), items, ["problem"]).run()
     assert made["redacted"].first()["text"] == "Intro text.\n\nBefore [REDACTED] after Coulomb."
+
+
+def test_sidecars_and_tokens(spark, tmp_path):
+    from loomspan.functions import text as T
+
+    assert sinks.run_name("org/Model 8B", "data/set.json", "playbook", iteration=3, rollouts=None) == "Model-8B_set_playbook_iteration3"
+    sinks.write_sidecar(spark, str(tmp_path / "meta"), {"b": 1, "a": "é"})
+    assert spark.read.text(str(tmp_path / "meta")).first()[0] == '{"a": "é", "b": 1}'
+    df = spark.createDataFrame([("a" * 9,), (None,)], "t string")
+    assert [r[0] for r in df.select(T.count_tokens("t")).collect()][0] == 2
