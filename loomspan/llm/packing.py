@@ -17,7 +17,6 @@ piece then takes the slot of its rank among the pieces of its length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, SparkSession, map_rows, materialize, pick
+from .common import TOKENIZER_DIR, SparkSession, _arrow_schema, _to_batch, map_rows, materialize, pick
 
 #: Salts of a length; full pieces, which need no partner, are dealt wider.
 SALTS, FULL_SALTS = 64, 4096
@@ -49,62 +48,76 @@ class Encoder:
     and of its marks, and new letter runs are encoded together, in one call.
     """
 
-    PARTS = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
+    MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    MARK_BYTES = MARKS.encode()
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
         self.limit = limit
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > self.limit:
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Make sure that every word of ``texts`` is known."""
+        every = set().union(*texts)
+        new = every.difference(self.words)
+        if len(self.words) + len(new) > self.limit:
             self.words.clear()
+            new = every
+        if new:
+            self._learn(new)
+
+    def _parts(self, raw: bytes) -> tuple[bytes, bytes] | None:
+        """(lower-cased letters, ASCII marks after them); None for any other word, and where lower-casing is not letter by letter."""
+        core = raw.rstrip(self.MARK_BYTES)
+        if core.isalpha():  # of bytes: ASCII letters
+            return core.lower(), raw[len(core) :]
+        if core.isascii():
+            return None
+        letters = core.decode()
+        low = letters.lower()
+        return (low.encode(), raw[len(core) :]) if letters.isalpha() and low.isalpha() and len(low) == len(letters) and "\u03a3" not in letters else None
+
+    def _learn(self, words: set[bytes]) -> None:
         if len(self.letters) > 2 * self.limit:  # what words are made of outlasts them
             self.letters.clear()
-        parts, new = [], set()
+        letters, known = self.letters, self.words
+        made = []
         for raw in words:
-            word = raw.decode()
-            m = self.PARTS.fullmatch(word)
-            low = m[1].lower() if m else ""
-            if not m or len(low) != len(m[1]) or "\u03a3" in word or not low.isalpha():  # lower-casing must be letter by letter
-                self.words[raw] = self._ids(word).tobytes()
-                continue
-            parts.append((raw, low, m[2]))
-            for p in (low, m[2]):
-                if p and p not in self.letters:
-                    new.add(p)
-        runs = [p for p in new if p.isalpha()]
-        ids = self._ids(" ".join(runs))
+            parts = self._parts(raw)
+            if parts is None:
+                known[raw] = self._ids(raw.decode()).tobytes()
+            else:
+                made.append((raw, *parts))
+        runs = list({low for _, low, _ in made}.difference(letters))
+        ids = self._ids(b" ".join(runs).decode())
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(runs):
             data, at = ids.tobytes(), 0
-            for p, stop in zip(runs, stops.tolist()):
-                self.letters[p] = data[4 * at : 4 * stop]
+            for run, stop in zip(runs, (4 * stops).tolist()):
+                letters[run] = data[at:stop]
                 at = stop
         else:  # a letter the tokenizer does not take as one: word by word
-            self.letters.update((p, self._ids(p).tobytes()) for p in runs)
-        self.letters.update((p, self._ids(p).tobytes()) for p in new if not p.isalpha())
-        for raw, low, marks in parts:
-            self.words[raw] = self.letters[low] + self.letters[marks] if marks else self.letters[low]
+            letters.update((run, self._ids(run.decode()).tobytes()) for run in runs)
+        for marks in {m for *_, m in made if m}.difference(letters):
+            letters[marks] = self._ids(marks.decode()).tobytes()
+        for raw, low, marks in made:
+            known[raw] = letters[low] + letters[marks] if marks else letters[low]
+
+    def join(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
 
     def __call__(self, text: str) -> bytes:
         words = text.encode().split()
-        found = list(map(self.words.get, words))
-        if None in found:
-            self._learn({w for w, f in zip(words, found) if f is None})
-            found = list(map(self.words.get, words))
-            if None in found:  # emptied on the way
-                self._learn(set(words))
-                found = list(map(self.words.__getitem__, words))
-        return b"".join(found)
+        self.learn([words])
+        return self.join(words)
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -113,20 +126,26 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | N
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
 
-    def make():
-        encode = Encoder(path)
-
-        def one(doc_id, text):
-            data = encode(text or "") + end
-            for k, at in enumerate(range(0, len(data), step)):
-                part = data[at : at + step]
-                row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
-                yield row + ((np.frombuffer(part, dtype="<u4").astype(np.int64).tolist(),) if with_ids else ())
-
-        return one
-
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return map_rows(pick(docs, "doc_id", "text"), schema, make, 2)
+    arrow = _arrow_schema(docs.sparkSession, schema)
+
+    def run(batches):
+        encode = Encoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # words are learned for some documents at once
+                part = batch.slice(at, 256)
+                texts = [(t or "").encode().split() for t in part.column(1).to_pylist()]
+                encode.learn(texts)
+                out = []
+                for doc_id, words in zip(part.column(0).to_pylist(), texts):
+                    data = encode.join(words) + end
+                    for k, i in enumerate(range(0, len(data), step)):
+                        ids = data[i : i + step]
+                        row = (doc_id, k, i // 4, len(ids) // 4, zlib.crc32(ids))
+                        out.append(row + ((np.frombuffer(ids, dtype="<u4").astype(np.int64).tolist(),) if with_ids else ()))
+                yield _to_batch(out, arrow)
+
+    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
 # --- the plan, on counts of lengths -----------------------------------------------------------
