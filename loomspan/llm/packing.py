@@ -20,8 +20,10 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ class Encoder:
     MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
     MARK_BYTES = MARKS.encode()
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,7 +88,7 @@ class Encoder:
         return (low.encode(), raw[len(core) :]) if letters.isalpha() and low.isalpha() and len(low) == len(letters) and "\u03a3" not in letters else None
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.letters) > 2 * self.limit:  # what words are made of outlasts them
+        if len(self.letters) > 1.5 * self.limit:  # what words are made of outlasts them
             self.letters.clear()
         letters, known = self.letters, self.words
         made = []
@@ -120,6 +122,12 @@ class Encoder:
         return self.join(words)
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """One a Python worker: what a task has learned serves the next one."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every document."""
     path = path or tokenizer_path()
@@ -130,11 +138,11 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | N
     arrow = _arrow_schema(docs.sparkSession, schema)
 
     def run(batches):
-        encode = Encoder(path)
+        encode = shared_encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # words are learned for some documents at once
                 part = batch.slice(at, 256)
-                texts = [(t or "").encode().split() for t in part.column(1).to_pylist()]
+                texts = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
                 encode.learn(texts)
                 out = []
                 for doc_id, words in zip(part.column(0).to_pylist(), texts):
