@@ -10,8 +10,9 @@ ratio, normalised by length, through a logistic calibration.
 * Counts come from all labelled rows that may be learned (crc32(doc_id) mod 5 in 1, 2,
   3), so what is gathered grows with the input; the calibration is fitted on a bounded
   sample (``max_calibration`` of each label) of the rows with 4. Rows with 0 are never read.
-* The model keeps the most frequent n-grams, at most ``max_ngrams`` (a documented bound on
-  what is broadcast); dropped ones back off.
+* Every n-gram counted is kept. Its statistics are Spark aggregations; workers get a sorted
+  table of 64-bit hashes and ratios, 16 bytes an n-gram or context and nothing dropped. It
+  grows with the distinct n-grams. Two n-grams share a hash once in 2^64 pairs.
 * Labels that are null or contradict each other within a doc_id are not learned. With one
   label value only, scores are that share (0 if none). Empty and null texts score by the prior.
 * Rows are scored one by one; repeated rows get equal scores, and an empty table stays empty.
@@ -21,9 +22,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +88,54 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
+def statistics(counts: DataFrame) -> DataFrame:
+    """(kind, text, ratio) of every n-gram ('gram') and context ('context') in ``counts`` (gram, ordinary, toxic)."""
+    joint = counts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram")), lambda k: F.substring("gram", k, F.length("gram")))).alias("g")).distinct()
+    joint = materialize(joint, "toxic-suffixes")
+    size = joint.agg(F.count_distinct(F.right("g", F.lit(1)))).first()[0] + 1
+    below = joint.where(F.length("g") > 1).groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("n"))
+    below = below.select("g", "n", F.expr("left(g, length(g) - 1)").alias("h"))
+    around = below.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    lower = materialize(below.join(around, "h"), "toxic-continuations")
+    mixed = lambda under: (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * under) / F.col("total")
+    shared = level = lower.where(F.length("g") == 1).select("g", mixed(F.lit(1 / size)).alias("low"))
+    for k in range(2, ORDER):
+        under = level.select(F.col("g").alias("tail"), F.col("low").alias("under"))
+        own = lower.where(F.length("g") == k).withColumn("tail", F.expr("substring(g, 2)"))
+        level = materialize(own.join(under, "tail").select("g", mixed(F.col("under")).alias("low")), "toxic-shared")
+        shared = shared.unionByName(level)
+
+    split = counts.select("gram", "ordinary", "toxic", F.expr("left(gram, length(gram) - 1)").alias("context"), F.expr("substring(gram, 2)").alias("g"))
+    sums = split.groupBy("context").agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), F.count_if(F.col("ordinary") > 0).alias("k0"), F.count_if(F.col("toxic") > 0).alias("k1"))
+    weight = lambda v: F.when(F.col(f"n{v}") > 0, DISCOUNT * F.col(f"k{v}") / F.col(f"n{v}")).otherwise(1.0)
+    sums = materialize(sums.withColumn("w0", weight(0)).withColumn("w1", weight(1)), "toxic-contexts")
+
+    def seen(column: str, v: int):
+        own = F.greatest(F.col(column) - DISCOUNT, F.lit(0.0)) / F.col(f"n{v}") + F.col(f"w{v}") * F.col("low")
+        return F.greatest(F.when(F.col(f"n{v}") > 0, own).otherwise(F.col("low")), F.lit(1e-12))
+
+    grams = split.join(sums, "context").join(shared, "g").select(F.lit("gram").alias("kind"), F.col("gram").alias("text"), F.log(seen("toxic", 1) / seen("ordinary", 0)).alias("ratio"))
+    return grams.unionByName(sums.select(F.lit("context").alias("kind"), F.col("context").alias("text"), F.log(F.col("w1") / F.col("w0")).alias("ratio")))
+
+
+class Ratios:
+    """text -> ratio as two sorted arrays: hashes and values."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def find(self, text: str) -> float | None:
+        h = np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).view(np.int64)
+        at = self.keys.searchsorted(h)
+        return float(self.values[at]) if at < len(self.keys) and self.keys[at] == h else None
+
+
 class ToxicityModel:
     """Log-likelihood ratios by n-gram and by context, and the calibration."""
 
     def __init__(self, counts: dict[str, tuple[int, int]]):
+        """From counts that fit the driver; :meth:`gathered` makes the same of a table."""
         joint: dict[str, int] = {}
         for g in counts:
             for k in range(len(g)):  # distinct left extensions, order by order
@@ -122,22 +168,42 @@ class ToxicityModel:
             s[2] += a > 0
             s[3] += b > 0
         weight = lambda n, kinds: DISCOUNT * kinds / n if n else 1.0
-        self.context = {h: math.log(weight(s[1], s[3]) / weight(s[0], s[2])) for h, s in sums.items() if s[0] + s[1]}
-        self.gram = {}
+        context = {h: math.log(weight(s[1], s[3]) / weight(s[0], s[2])) for h, s in sums.items() if s[0] + s[1]}
+        gram = {}
         for g, (a, b) in counts.items():
             s, low = sums[g[:-1]], shared(g[1:])
             p = [max(n - DISCOUNT, 0) / of + weight(of, k) * low if of else low for n, of, k in ((a, s[0], s[2]), (b, s[1], s[3]))]
-            self.gram[g] = math.log(max(p[1], 1e-12) / max(p[0], 1e-12))
-        self.calibration = np.zeros(4)
-
-    def ratio(self, raw: bytes) -> float:
+            gram[g] = math.log(max(p[1], 1e-12) / max(p[0], 1e-12))
+        hashed = lambda of: np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in of], dtype=np.uint64).view(np.int64)
+        self._hold(*(Ratios(hashed(x), np.array(list(x.values()), dtype=np.float64)) for x in (gram, context)))
+
+    def _hold(self, gram: Ratios, context: Ratios) -> None:
+        self.gram, self.context, self.calibration = gram, context, np.zeros(4)
+
+    @classmethod
+    def gathered(cls, counts: DataFrame) -> ToxicityModel:
+        made = materialize(statistics(counts).select("kind", F.xxhash64("text").alias("key"), "ratio"), "toxic-model")
+        parts = []
+        for kind in ("gram", "context"):
+            got = made.where(F.col("kind") == kind).select("key", "ratio").toArrow()
+            parts.append(Ratios(got.column("key").to_numpy(), got.column("ratio").to_numpy()))
+        model = cls.__new__(cls)
+        model._hold(*parts)
+        return model
+
+    def value(self, gram: str) -> float:
+        """The ratio of an n-gram, or of its context if it was never seen, or 0."""
+        x = self.gram.find(gram)
+        return (self.context.find(gram[:-1]) or 0.0) if x is None else x
+
+    def ratio(self, raw: bytes, value: Callable[[str], float] | None = None) -> float:
         """Toxic over ordinary log-likelihood of one word, given that there is a word."""
-        word = core(raw.decode())
-        out = 0.0
-        for g in top_grams(word):
-            x = self.gram.get(g)
-            out += self.context.get(g[:-1], 0.0) if x is None else x
-        return out
+        return sum(map(value or self.value, top_grams(core(raw.decode()))), 0.0)
+
+    def words(self) -> WordCache:
+        """word -> ratio. Each n-gram met is looked up once while it is cached."""
+        grams = WordCache(self.value, 500_000)
+        return WordCache(lambda raw: self.ratio(raw, grams.__getitem__), 300_000)
 
     def features(self, text: str | None, cache: WordCache) -> np.ndarray:
         """Length-normalised ratios: by words, by the root of words, and of the words that speak for toxic."""
@@ -165,27 +231,18 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_ngrams: int = 250_000, max_calibration: int = 2000) -> ToxicityModel | float:
+def train(docs: DataFrame, labels: DataFrame, max_calibration: int = 2000) -> ToxicityModel | float:
     rows = pick(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     clean = rows.groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("__high")).where("label = __high").select("doc_id", "label")
     texts = pick(docs, "doc_id", "text")
     # Labels grow with the documents, so both sides are dealt by id at every size.
     counts = materialize(gram_counts(texts.hint("merge").join(clean.where(fold(F.col("doc_id")) != 4), "doc_id")), "toxic-grams")
-    # The least count that leaves max_ngrams at most, from the counts' own (small) histogram.
-    kept, least = 0, 1
-    capped = F.least(F.col("ordinary") + F.col("toxic"), F.lit(1_000_000)).alias("n")
-    for r in sorted(counts.groupBy(capped).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["n"]):
-        if kept + r["k"] > max_ngrams:
-            least = r["n"] + 1
-            break
-        kept += r["k"]
-    got = {r["gram"]: (r["ordinary"], r["toxic"]) for r in counts.where(F.col("ordinary") + F.col("toxic") >= least).collect()}
     parts = [clean.where((fold(F.col("doc_id")) == 4) & (F.col("label") == v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration) for v in (0, 1)]
-    model = ToxicityModel(got)
+    model = ToxicityModel.gathered(counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        cache = WordCache(shared.value.ratio, 300_000)
+        cache = shared.value.words()
         return lambda doc_id, text, label: [(doc_id, label, shared.value.features(text, cache).tolist())]
 
     sample = texts.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("doc_id", "text", "label")
@@ -198,13 +255,13 @@ def train(docs: DataFrame, labels: DataFrame, max_ngrams: int = 250_000, max_cal
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_ngrams entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 16 bytes an n-gram or context
 
     def make():
         m = shared.value
         if isinstance(m, float):
             return lambda doc_id, text: [(doc_id, m)]
-        cache = WordCache(m.ratio, 300_000)
+        cache = m.words()
         return lambda doc_id, text: [(doc_id, m.score(m.features(text, cache)))]
 
     return map_rows(pick(docs, "doc_id", "text"), "doc_id long, score double", make, 2)

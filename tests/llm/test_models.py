@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,25 @@ def test_models_with_odd_inputs(spark):
 def test_shared_backoff_is_neutral():
     model = toxicity.ToxicityModel({g: (50, 0) for g in toxicity.top_grams("^good$")} | {g: (0, 50) for g in toxicity.top_grams("^scum$")})
     assert model.ratio(b"scum") > 1 > -1 > model.ratio(b"good") and abs(model.ratio("日本".encode())) < 1
+
+
+def test_toxicity_keeps_every_gram(spark):
+    """No rare gram is dropped, and the table says what a plain reading of all counts says."""
+    counts = {f"{a}{b}{c}": (1 + (a + b + c in "aceg"), int(c == "b")) for a in map(chr, range(0x4E00, 0x4E00 + 50)) for b in map(chr, range(0x5E00, 0x5E00 + 50)) for c in "b"}
+    counts |= {g: (3, 1) for g in toxicity.top_grams("^good$")} | {g: (0, 5) for g in toxicity.top_grams("^scum$")}
+    table = spark.createDataFrame([(g, a, b) for g, (a, b) in counts.items()], "gram string, ordinary long, toxic long")
+    made, plain = toxicity.ToxicityModel.gathered(table), toxicity.ToxicityModel(counts)
+    assert len(made.gram.keys) == len(counts)
+    for a, b in ((made.gram, plain.gram), (made.context, plain.context)):
+        assert (a.keys == b.keys).all() and np.allclose(a.values, b.values, rtol=1e-9)
+
+
+def test_toxicity_learns_from_all_rows(spark):
+    """train() holds every gram that its learnable rows have."""
+    ids = [i for i in range(1, 12_000) if zlib.crc32(str(i).encode()) % 5]
+    text = {i: " ".join(f"{chr(0x4E00 + i)}{chr(0x5000 + k)}" for k in range(60)) for i in ids}
+    docs = spark.createDataFrame([(i, t) for i, t in text.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    learnable = [i for i in ids if zlib.crc32(str(i).encode()) % 5 != 4]
+    grams = {g for i in learnable for w in text[i].split() for g in toxicity.top_grams(toxicity.core(w))}
+    assert len(grams) > 250_000 and len(toxicity.train(docs, labels).gram.keys) == len(grams)
