@@ -74,16 +74,21 @@ def near_pairs(fps: DataFrame, max_bucket: int = 4096) -> DataFrame:
     return met.unionByName(direct.join(fps.select(F.col("fp").alias("v")), "v").select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, max_bucket: int = 4096) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable through links) for every row."""
+def classes(docs: DataFrame, width: int = 3, seed: int = 42, max_bucket: int = 4096) -> DataFrame:
+    """doc_id, fp, root (smallest fingerprint reachable), component_id (smallest doc_id reachable through links) for every row."""
     sigs = materialize(fingerprints(docs, width, seed), "fingerprints")
     fps = materialize(sigs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fps")
     roots = connected_components(near_pairs(fps.select("fp"), max_bucket))
     named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    classes = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = materialize(named.join(classes, "root").select("fp", "component_id"), "fp-classes")
+    ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_fp = materialize(named.join(ids, "root").select("fp", "root", "component_id"), "fp-classes")
     discard(fps)
-    return sigs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return sigs.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, max_bucket: int = 4096) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable through links) for every row."""
+    return classes(docs, width, seed, max_bucket).drop("root")
 
 
 def near_duplicates_digest(docs: DataFrame) -> DataFrame:
@@ -91,11 +96,11 @@ def near_duplicates_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """Of each class of ``docs``, the row with the smallest id, all columns; of repeated rows of that id, one."""
+    """Of each class of ``docs``, the row with the smallest id (a null id if it has no other), all columns; of repeated rows of that id, one."""
     import pyarrow as pa
 
-    first = near_duplicates(docs, width, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("component_id").agg(F.min("fp").alias("__first_fp"))
+    first = classes(docs, width, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root").agg(F.min("component_id").alias("component_id"), F.min("fp").alias("__first_fp"))
 
     def make():
         def one(batch):

@@ -170,3 +170,11 @@ def test_extra_columns_with_clashing_names(spark):
     df = table(spark, rows).selectExpr("*", "'x' AS fp", "'y' AS component_id", "1 AS n_words", "'z' AS key", "3 AS n_lines", "'q' AS __id", "'t' AS TEXT2")
     assert {r["n_dropped"] for r in line_dedup.dedup_lines(df).collect()} == {1}
     assert len(simhash.near_duplicates(df).collect()) == 12 and len(quality_rules.quality_rules(df).collect()) == 12
+
+
+def test_keep_first_by_class(spark):
+    """Classes without ids, and classes that share their smallest id, keep one row each."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "bravo", "carol", "delta"))
+    rows = [(None, a), (None, a), (None, b), (1, c), (1, d), (2, c), (3, d)]
+    out = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == [(0, a), (0, b), (1, c), (1, d)]
