@@ -5,12 +5,13 @@ counts fit the driver whatever the corpus. On the counts a plan is searched
 (bins with the same filling are one group with a multiplicity), and every
 piece then takes the slot of its rank among the pieces of its length.
 
-* Best-fit decreasing gives the incumbent. If it misses the lower bound, bin completion
-  looks for better: around the largest remaining length it enumerates undominated
-  fillings, prunes branches whose waste exceeds what an improvement allows, and keeps
-  the best plan found within ``max_nodes`` search nodes (the incumbent otherwise).
+* Best-fit decreasing gives the incumbent. Bin completion then makes the plan: around the
+  largest remaining length it takes undominated fillings, fullest first, and leaves branches
+  whose waste exceeds what the incumbent allows. It ends at the lower bound, or with all
+  branches searched (the plan is then the best there is), or after ``max_nodes`` fillings
+  looked at, with the best plan so far. Fillings are enumerated lazily and never cut.
 * Ranks use a two-level count over (length, salt), so a length that holds a third of all
-  pieces is ranked by many tasks.
+  pieces is ranked by many tasks; a length has a salt more for each 100,000 pieces.
 * A null or empty text is its end token alone: one piece. Longer documents are cut, none is
   truncated or dropped. Repeated rows are packed once each. An empty table packs to nothing.
 """
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import TOKENIZER_DIR, SparkSession, _arrow_schema, _to_batch, map_rows, materialize, pick
 
-#: Salts of a length; full pieces, which need no partner, are dealt wider.
-SALTS, FULL_SALTS = 64, 4096
+#: Least salts of a length, and of full pieces, which need no partner; pieces of a salt beyond those.
+SALTS, FULL_SALTS, PER_SALT = 64, 4096, 100_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json", folder: str = TOKENIZER_DIR) -> str:
@@ -216,121 +218,142 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return done + [(f, b) for groups in room.values() for f, b in groups]
 
 
-def fillings(largest: int, counts: dict[int, int], capacity: int, max_waste: int, limit: int = 64) -> list[tuple[int, ...]]:
-    """Undominated fillings around ``largest``, fullest first: no piece left over fits the gap or could replace a smaller one in it.
-
-    Two-piece completions dominate those that split them, so at most three more pieces are tried beside repeats of the smallest.
-    """
-    lengths = sorted((n for n, c in counts.items() if c - (n == largest) > 0), reverse=True)
-    have = {n: counts[n] - (n == largest) for n in lengths}
-    found: list[tuple[int, tuple[int, ...]]] = []
-    ascending = lengths[::-1]
-
-    def largest_fit(space, below):
-        at = bisect_right(ascending, min(space, below)) - 1
-        return at
-
-    budget = [512]
-
-    def grow(space, top, chosen):
-        budget[0] -= 1
-        at = largest_fit(space, top)
-        while at >= 0 and have[ascending[at]] == 0:
-            at -= 1
-        if at < 0:
-            if space <= max_waste:
-                found.append((space, chosen))
+def _sums(pieces: list[tuple[int, int]], most: int) -> list[int]:
+    """Bit sets: entry i has bit s if some of the first i (length, count) pairs can sum to s <= most."""
+    mask, reach = (1 << (most + 1)) - 1, [1]
+    for n, c in pieces:
+        r, step, c = reach[-1], 1, min(c, most // n)
+        while c:
+            step = min(step, c)
+            r |= (r << (n * step)) & mask
+            c -= step
+            step *= 2
+        reach.append(r)
+    return reach
+
+
+def _exactly(target: int, pieces: list[tuple[int, int]], reach: list[int], upto: int) -> Iterator[tuple[int, ...]]:
+    """Every multiset of the first ``upto`` pieces that sums to ``target``, large pieces first; no dead ends."""
+    if not target:
+        yield ()
+        return
+    for j in range(upto - 1, -1, -1):
+        if not reach[j + 1] >> target & 1:
             return
-        tried = 0
-        while at >= 0 and budget[0] > 0 and tried < 6:
-            n = ascending[at]
-            if have[n]:
-                if space - n and tried and (space - n) < ascending[0] and space - n > max_waste:
-                    break  # every smaller choice wastes more still
-                have[n] -= 1
-                grow(space - n, n, (*chosen, n))
-                have[n] += 1
-                tried += 1
-                if space == n:
-                    break  # an exact piece dominates every split of the same space
-            at -= 1
-
-    grow(capacity - largest, largest, (largest,))
-    found.sort(key=lambda x: (x[0], len(x[1])))
-    out: list[tuple[int, ...]] = []
-    for _, f in found:
-        if f not in out:
-            out.append(f)
-        if len(out) >= limit:
-            break
-    return out
-
-
-def complete_bins(counts: dict[int, int], capacity: int, incumbent: Plan, bound: int, max_nodes: int = 2_000) -> Plan:
-    """Depth-first bin completion: fewer bins than ``incumbent``, or the incumbent."""
-    best, best_bins = incumbent, sum(b for _, b in incumbent)
-    total = sum(n * c for n, c in counts.items())
-    nodes = [max_nodes]
+        n, c = pieces[j]
+        for k in range(min(c, target // n), 0, -1):
+            if reach[j] >> (target - k * n) & 1:
+                for rest in _exactly(target - k * n, pieces, reach, j):
+                    yield (n,) * k + rest
 
-    def search(left: dict[int, int], plan: Plan, bins: int, waste: int):
-        nonlocal best, best_bins
-        while True:
-            if nodes[0] <= 0 or best_bins <= bound:
-                return
-            nodes[0] -= 1
-            allowed = (best_bins - 1) * capacity - total - waste
-            if allowed < 0:
-                return
-            if not left:
-                if bins < best_bins:
-                    best, best_bins = list(plan), bins
-                return
-            top = max(left)
-            options = fillings(top, left, capacity, allowed)
-            if not options:
-                return
-            for filling in options[1:4] if len(plan) < 40 else ():
-                after, times = _take(left, filling, 1)
-                search(after, [*plan, (filling, times)], bins + times, waste + times * (capacity - sum(filling)))
-                if nodes[0] <= 0 or best_bins <= bound:
-                    return
-                nodes[0] -= 1
-            filling = options[0]
-            gap = capacity - sum(filling)
-            left, times = _take(left, filling, allowed // gap if gap else None)
-            plan, bins, waste = [*plan, (filling, times)], bins + times, waste + times * gap
 
-    search({n: c for n, c in counts.items() if c}, [], 0, 0)
-    return best
+def undominated(chosen: tuple[int, ...], waste: int, others: int) -> bool:
+    """No piece left over fits the gap, nor could replace some of ``chosen`` by filling more, or as much with fewer pieces.
 
+    ``others`` is the bit set of the lengths that the bin does not use up. One swap of that kind never costs a bin, as the
+    pieces taken out fit where the other came from; so only fillings without one need a look.
+    """
+    if others & ((1 << (waste + 1)) - 1):
+        return False
+    ones, more = 0, 0  # sums of one, and of two or more of the chosen
+    for n in chosen:
+        more |= (ones | more) << n
+        ones |= 1 << n
+
+    def smear(bits, width):  # each bit and the ``width`` above it
+        done = 0
+        while done < width:
+            step = min(done + 1, width - done)
+            bits |= bits << step
+            done += step
+        return bits
+
+    return not (others & smear(more, waste) or waste and others & (smear(ones, waste - 1) << 1))
+
+
+def fillings(largest: int, counts: dict[int, int], capacity: int, max_waste: int, tick: Callable[[], bool] = lambda: True) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings around ``largest``, fullest first, one at a time. ``tick`` is asked before each is looked at."""
+    gap = capacity - largest
+    have = Counter(counts)
+    have[largest] -= 1
+    if gap and have[gap]:  # fills the bin alone: dominates all others
+        yield (largest, gap)
+        return
+    pieces = sorted((n, c) for n, c in have.items() if c > 0 and n <= gap)
+    reach = _sums(pieces, gap)
+    lengths = sum(1 << n for n, _ in pieces)
+    for waste in range(min(max_waste, gap) + 1):
+        for chosen in _exactly(gap - waste, pieces, reach, len(pieces)):
+            if not tick():
+                return
+            used_up = sum(1 << n for n, k in Counter(chosen).items() if k == have[n])
+            if undominated(chosen, waste, lengths & ~used_up):
+                yield (largest, *chosen)
 
-def _take(left: dict[int, int], filling: tuple[int, ...], most: int | None) -> tuple[dict[int, int], int]:
-    need: dict[int, int] = defaultdict(int)
-    for n in filling:
-        need[n] += 1
-    times = min(left[n] // k for n, k in need.items())
-    times = max(1, times if most is None else min(times, most))
-    after = dict(left)
-    for n, k in need.items():
-        after[n] -= k * times
-        if not after[n]:
-            del after[n]
-    return after, times
 
+def complete_bins(counts: dict[int, int], capacity: int, incumbent: Plan, bound: int, max_nodes: int = 20_000) -> tuple[Plan, bool]:
+    """Depth-first bin completion -> (plan, whether the search ended within its nodes).
 
-def plan_bins(counts: dict[int, int], capacity: int, max_nodes: int = 2_000) -> Plan:
-    bound = lower_bound(counts, capacity)
-    plan = best_fit(counts, capacity)
-    if sum(b for _, b in plan) > bound:
-        import sys
+    The plan is the best one completed, if it needs no more bins than ``incumbent``, else the
+    incumbent. A filling is tried for as many bins as it can fill, then for one, so that every
+    mix of fillings is met; what is left over is not searched again with as much waste or more.
+    """
+    most = sum(b for _, b in incumbent)
+    best, best_bins = incumbent, most + 1
+    total = sum(n * c for n, c in counts.items())
+    nodes = max_nodes
+    met: dict[frozenset, int] = {}
+
+    def tick() -> bool:
+        nonlocal nodes
+        nodes -= 1
+        return nodes >= 0
 
-        depth = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(depth, 5000))
-        try:
-            plan = complete_bins(counts, capacity, plan, bound, max_nodes)
-        finally:
-            sys.setrecursionlimit(depth)
-    return plan
+    def moves(left: dict[int, int], waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        for filling in fillings(max(left), left, capacity, (best_bins - 1) * capacity - total - waste, tick):
+            gap = capacity - sum(filling)
+            times = min(left[n] // k for n, k in Counter(filling).items())
+            if gap:
+                times = min(times, ((best_bins - 1) * capacity - total - waste) // gap)
+            for t in (times, 1) if times > 1 else (1,):
+                yield filling, t
+
+    stack = [(moves(dict(counts), 0), dict(counts), 0, 0)]
+    plan: Plan = []
+    while stack and nodes >= 0 and best_bins > bound:
+        options, left, bins, waste = stack[-1]
+        filling, times = next(options, (None, 0))
+        if filling is None:
+            stack.pop()
+            if plan:
+                plan.pop()
+            continue
+        used = waste + times * (capacity - sum(filling))
+        if used > (best_bins - 1) * capacity - total:
+            continue
+        after = dict(left)
+        for n, k in Counter(filling).items():
+            after[n] -= k * times
+            if not after[n]:
+                del after[n]
+        if not after:
+            if bins + times < best_bins:
+                best, best_bins = [*plan, (filling, times)], bins + times
+            continue
+        key = frozenset(after.items())
+        if met.get(key, used + 1) <= used:
+            continue
+        met[key] = used
+        plan.append((filling, times))
+        stack.append((moves(after, used), after, bins + times, used))
+    return best, best_bins <= bound or not stack and nodes >= 0
+
+
+def plan_bins(counts: dict[int, int], capacity: int, max_nodes: int = 20_000) -> Plan:
+    counts = {n: c for n, c in counts.items() if c}
+    if not counts:
+        return []
+    return complete_bins(counts, capacity, best_fit(counts, capacity), lower_bound(counts, capacity), max_nodes)[0]
 
 
 def slots(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
@@ -348,11 +371,16 @@ def slots(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
     return {n: tuple(np.array(c, dtype=np.int64) for c in zip(*r)) for n, r in runs.items()}
 
 
-def pack(made: DataFrame, capacity: int = 2048, max_nodes: int = 2_000) -> DataFrame:
+def pack(made: DataFrame, capacity: int = 2048, max_nodes: int = 20_000) -> DataFrame:
     """Add sequence_id and offset to the rows of ``made`` (doc_id, piece, length and more); ``made`` must be written."""
     spark: SparkSession = made.sparkSession
-    salted = made.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.when(F.col("length") == capacity, FULL_SALTS).otherwise(SALTS)).cast("int"))
-    per_salt = salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect()  # at most capacity x SALTS + FULL_SALTS rows
+    sizes = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    wide = {n: c // PER_SALT for n, c in sizes.items() if c >= (FULL_SALTS if n == capacity else SALTS) * PER_SALT}
+    salts = F.when(F.col("length") == capacity, FULL_SALTS).otherwise(SALTS)
+    if wide:
+        salts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for n, c in sorted(wide.items()) for x in (n, c))), F.col("length")), salts)
+    salted = made.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), salts).cast("int"))
+    per_salt = salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect()  # a row for PER_SALT pieces beyond capacity x SALTS + FULL_SALTS
     counts: dict[int, int] = defaultdict(int)
     before: dict[tuple[int, int], int] = {}
     for r in sorted(per_salt, key=lambda r: (r["length"], r["__salt"])):
@@ -386,7 +414,7 @@ def pack(made: DataFrame, capacity: int = 2048, max_nodes: int = 2_000) -> DataF
     return map_rows(flat, f"{kinds}, sequence_id long, offset long", make, len(columns) + 2)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, max_nodes: int = 2_000) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, max_nodes: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: each document tokenized once, each piece in one place."""
     return pack(materialize(pieces(docs, capacity, end_id, path), "pieces"), capacity, max_nodes)
 

@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -79,6 +80,58 @@ def test_small_cases_are_optimal(seed):
     assert check_plan(packing.plan_bins(counts, 15), counts, 15) == brute(lengths, 15)
 
 
+def test_completion_is_optimal_where_best_fit_is_not():
+    """All random cases that best fit leaves above the bound are searched to the end, and come out best."""
+    rng = random.Random(1)
+    met = 0
+    while met < 1000:
+        capacity = rng.choice([15, 20, 30, 50, 100])
+        lengths = [rng.randint(max(1, capacity // 10), capacity * 2 // 3) for _ in range(rng.randint(8, 13))]
+        counts = dict(Counter(lengths))
+        first, bound = packing.best_fit(counts, capacity), packing.lower_bound(counts, capacity)
+        if sum(b for _, b in first) == bound:
+            continue
+        met += 1
+        plan, ended = packing.complete_bins(counts, capacity, first, bound)
+        assert ended and check_plan(plan, counts, capacity) == brute(sorted(lengths, reverse=True), capacity)
+    counts = dict(Counter([4, 5, 7, 9, 9, 11, 12, 15, 15, 16, 17]))
+    assert check_plan(packing.plan_bins(counts, 30), counts, 30) == 4
+
+
+def all_fillings(largest, counts, capacity):
+    """Brute force: every multiset around ``largest`` that no other one dominates in one swap."""
+    have = Counter(counts)
+    have[largest] -= 1
+    found = {()}
+    for n in have.elements():
+        found |= {tuple(sorted((*f, n), reverse=True)) for f in found if sum(f) + n + largest <= capacity}
+    good = []
+    for f in found:
+        waste = capacity - largest - sum(f)
+        left = have - Counter(f)
+        swaps = [t for k in range(len(f) + 1) for t in combinations(f, k)]
+        if not any(sum(t) <= c <= sum(t) + waste and (c > sum(t) or len(t) > 1) for c in left for t in swaps):
+            good.append((largest, *f))
+    return sorted(good)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fillings_are_the_undominated_ones(seed):
+    rng = random.Random(seed)
+    counts = dict(Counter(rng.randint(2, 14) for _ in range(9)))
+    top = max(counts)
+    assert sorted(packing.fillings(top, counts, 24, 24)) == all_fillings(top, counts, 24)
+
+
+def test_the_plan_is_the_completion_s():
+    """Also where best fit meets the bound, the plan comes from bin completion."""
+    rng = random.Random(3)
+    counts = dict(Counter(min(2047, int(rng.lognormvariate(5, 1.2)) + 1) for _ in range(500)))
+    first = packing.best_fit(counts, 2048)
+    plan = packing.plan_bins(counts, 2048)
+    assert plan != first and check_plan(plan, counts, 2048) == packing.lower_bound(counts, 2048)
+
+
 def test_many_equal_pieces_need_few_groups():
     counts = {n: 10**9 + n for n in range(1, 2048, 7)}
     plan = packing.plan_bins(counts, 2048)
