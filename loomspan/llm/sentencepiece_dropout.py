@@ -2,16 +2,20 @@
 
 A text is escaped (spaces become U+2581, one is put in front), cut before every
 run of U+2581, and each unit is merged by an agenda of adjacent pairs, best score
-first. A pair popped from the agenda is skipped if a hash keyed by (seed, variant,
-left, right, place) falls under ``dropout``; the variant is drawn by hash from
-the document and the unit's number, so a word gets varied segmentations that are
-the same on every run. Characters outside the vocabulary fall back to bytes.
+first. Every candidate popped from the agenda is skipped if its hash, keyed by
+(seed, text, number of the unit in it, number of the pop), falls under ``dropout``: each
+occurrence of a word is drawn afresh, and the same on every run. Characters outside the
+vocabulary fall back to bytes.
 
-* Every segmentation decodes to the text exactly. Without dropout ids equal the library's.
+What a unit becomes depends on the numbers of its skipped pops alone, so the outcomes
+met are kept as a tree: unit, first skip, second skip, ... Hashes are drawn for all units of a
+text at once, an outcome further down the tree a round.
+
+* Every segmentation decodes to the text exactly; a U+2581 in a text goes as its bytes.
+  Without dropout ids equal the library's, but for texts with U+2581.
 * Null and empty texts have no ids and decode to the empty text. Rows are encoded one by
-  one; repeated rows get equal ids, as variants depend on the text and the seed alone.
-* A text holding U+2581 itself keeps the library's reading of it as a space: lossless
-  up to that one character, which ``lossless`` reports.
+  one; repeated rows get equal ids, as the keys depend on the text and the seed alone.
+* Very long texts are merged some thousand units at a time, very long units without the tree.
 """
 
 from __future__ import annotations
@@ -19,15 +23,18 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import TOKENIZER_DIR, WordCache, map_rows, pick
+from .common import TOKENIZER_DIR, map_rows, pick
 
 META = "▁"
-_UNITS = re.compile(f"{META}+[^{META}]*|[^{META}]+")
+#: Units merged at a time; outcomes kept; characters from which a unit's outcomes are not kept.
+SLICE, MOST, LONG = 65_536, 1_500_000, 48
 
 
 def model_path(name: str = "piece_bpe_32k.model", folder: str = TOKENIZER_DIR) -> str:
@@ -39,72 +46,111 @@ def model_path(name: str = "piece_bpe_32k.model", folder: str = TOKENIZER_DIR) -
         return f"{folder}/{name}"
 
 
-class UnitCache(WordCache):
-    """unit -> ids. A unit with marks behind its letters is put together from its two parts and not kept itself."""
-
-    def __init__(self, cut: re.Pattern | None, compute, limit: int):
-        super().__init__(compute, limit)
-        self.cut = cut
-
-    def __missing__(self, unit: str) -> bytes:
-        if self.cut and (m := self.cut.fullmatch(unit)):
-            return self[m[1]] + self[m[2]]
-        return super().__missing__(unit)
+def draws(key: int, units: np.ndarray, pops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of (key, unit, pop), the finalizer of SplitMix64 over a linear combination."""
+    x = np.uint64(key) + units.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pops.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+class Outcomes:
+    """The tree of outcomes: for each (unit, skipped pops) the ids, the next pop that is open, and how many follow if none is skipped."""
+
+    def __init__(self, merge: Callable[[str, set[int]], tuple[bytes, int]]):
+        self.merge = merge
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.below: dict[tuple[int, int], int] = {}
+        self.ids: list[bytes] = []
+        self.made_of: list[tuple[str, tuple[int, ...]]] = []
+        self.first, self.open = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+
+    def _add(self, unit: str, skips: tuple[int, ...]) -> int:
+        n = len(self.ids)
+        if n == len(self.first):
+            self.first, self.open = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.open))
+        ids, pops = self.merge(unit, set(skips))
+        self.first[n] = skips[-1] + 1 if skips else 0
+        self.open[n] = pops - self.first[n]
+        self.ids.append(ids)
+        self.made_of.append((unit, skips))
+        return n
+
+    def whole(self, unit: str) -> int:
+        n = self.at.get(unit)
+        if n is None:
+            n = self.at[unit] = self._add(unit, ())
+        return n
+
+    def skip(self, node: int, pop: int) -> int:
+        n = self.below.get((node, pop))
+        if n is None:
+            unit, skips = self.made_of[node]
+            n = self.below[node, pop] = self._add(unit, (*skips, pop))
+        return n
 
 
 class DropoutBpe:
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 13, variants: int = 2):
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 13):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.pieces = [model.id_to_piece(i) for i in range(n)]
+        pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        byte_of = {i: b for b, i in enumerate(self.bytes)}
         hidden = set(self.bytes) | {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        self.id_of = {p: i for i, p in enumerate(self.pieces) if i not in hidden}
+        self.id_of = {p: i for i, p in enumerate(pieces) if i not in hidden}
         self.score = {p: model.get_score(i) for p, i in self.id_of.items()}
         # Marks that no piece has behind a letter: no merge crosses such a place, so units are cut there.
         joined = {p[i] for p in self.id_of for i in range(1, len(p)) if p[i - 1].isalpha()}
         marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
-        self.cut = re.compile(f"({META}*[^\\W\\d_]+)([{marks}].*)", re.S) if marks else None
-        self.text_of = [bytes((self.byte_of[i],)) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
-        self.dropout, self.seed, self.variants = int(dropout * 2**64), seed, variants if dropout else 1
-        self.caches = [UnitCache(self.cut, lambda u, v=v: self._ids(u, v), 1_500_000 // self.variants) for v in range(self.variants)]
-
-    def skipped(self, left: str, right: str, place: int, variant: int) -> bool:
-        return xxhash.xxh64_intdigest(f"{variant}\0{left}\0{right}\0{place}", self.seed) < self.dropout
-
-    def segment(self, unit: str, variant: int = 0) -> list[str]:
-        """Merge by the agenda: highest score first, ties from the left; a skipped pair waits for a new neighbour."""
-        return self._scan(unit, variant) if len(unit) <= 48 else self._agenda(unit, variant)
-
-    def _scan(self, unit: str, variant: int) -> list[str]:
+        cut = f"{META}*[^\\W\\d_{META}]++(?=[{marks}])|" if marks else ""
+        self.units = re.compile(f"{cut}{META}+[^{META}]*|[^{META}]+")
+        self.text_of = [bytes((byte_of[i],)) if i in byte_of else p.replace(META, " ").encode() for i, p in enumerate(pieces)]
+        self.mark = np.array([self.bytes[b] for b in META.encode()], dtype="<u4").tobytes()
+        self.dropout, self.seed = min(int(dropout * 2**64), 2**64 - 1), seed
+        self.outcomes = Outcomes(self._ids)
+
+    def segment(self, unit: str, skipped: Callable[[int], bool] = lambda pop: False) -> tuple[list[str], int]:
+        """Merge by the agenda: highest score first, ties from the left; a skipped pair waits for a new neighbour. -> (pieces, pops)."""
+        return self._scan(unit, skipped) if len(unit) <= LONG else self._agenda(unit, skipped)
+
+    def _scan(self, unit: str, skipped: Callable[[int], bool]) -> tuple[list[str], int]:
         """The agenda of a short unit as a list of its pairs' scores: the same merges in the same order."""
         score, never = self.score.get, -1e30
-        parts, places = list(unit), list(range(len(unit)))
+        parts = list(unit)
         pairs = [score(a + b, never) for a, b in zip(parts, parts[1:])]
+        pop = 0
         while pairs:
             best = max(pairs)
             if best == never:
                 break
             i = pairs.index(best)
-            if self.dropout and self.skipped(parts[i], parts[i + 1], places[i], variant):
+            pop += 1
+            if skipped(pop - 1):
                 pairs[i] = never
                 continue
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del places[i + 1], pairs[i]
+            del pairs[i]
             if i < len(pairs):
                 pairs[i] = score(parts[i] + parts[i + 1], never)
             if i:
                 pairs[i - 1] = score(parts[i - 1] + parts[i], never)
-        return parts
+        return parts, pop
 
-    def _agenda(self, unit: str, variant: int) -> list[str]:
+    def _agenda(self, unit: str, skipped: Callable[[int], bool]) -> tuple[list[str], int]:
         parts = list(unit)
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         score, agenda = self.score, []
+        pop = 0
 
         def offer(i, j):
             s = score.get(parts[i] + parts[j])
@@ -117,7 +163,8 @@ class DropoutBpe:
             _, i, j, size = heapq.heappop(agenda)
             if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != size or after[i] != j:
                 continue
-            if self.dropout and self.skipped(parts[i], parts[j], i, variant):
+            pop += 1
+            if skipped(pop - 1):
                 continue
             parts[i] += parts[j]
             parts[j] = ""
@@ -127,38 +174,82 @@ class DropoutBpe:
                 offer(i, after[j])
             if before[i] >= 0:
                 offer(before[i], i)
-        return [p for p in parts if p]
+        return [p for p in parts if p], pop
 
-    def _ids(self, unit: str, variant: int) -> bytes:
+    def _as_ids(self, parts: list[str]) -> bytes:
         out: list[int] = []
-        for p in self.segment(unit, variant):
+        for p in parts:
             i = self.id_of.get(p)
             out += [i] if i is not None else [self.bytes[b] for b in p.encode()]
         return np.array(out, dtype="<u4").tobytes()
 
+    def _ids(self, unit: str, skips: set[int]) -> tuple[bytes, int]:
+        parts, pops = self.segment(unit, skips.__contains__)
+        return self._as_ids(parts), pops
+
+    def _alone(self, unit: str, key: int, number: int) -> bytes:
+        """A very long unit, by the same draws: three pops a character are more than there can be."""
+        skips = draws(key, np.full(1, number), np.arange(3 * len(unit))) < np.uint64(self.dropout)
+        return self._as_ids(self.segment(unit, skips.__getitem__)[0])
+
+    def _merge(self, units: list[str], key: int, base: int) -> bytes:
+        tree = self.outcomes
+        if len(tree.ids) > MOST:
+            tree.clear()
+        long = {k: u for k, u in enumerate(units) if len(u) > LONG} if max(map(len, units)) > LONG else {}
+        for k in long:
+            units[k] = ""
+        node = np.fromiter(map(tree.at.get, units, [-1] * len(units)), dtype=np.int64, count=len(units))
+        for k in np.flatnonzero(node < 0).tolist():
+            node[k] = tree.whole(units[k])
+        active = np.arange(len(units)) if self.dropout else ()
+        while len(active):
+            here = node[active]
+            open_ = tree.open[here]
+            n = int(open_.sum())
+            which = np.repeat(np.arange(len(active)), open_)
+            pops = np.arange(n) + np.repeat(tree.first[here] - (np.cumsum(open_) - open_), open_)
+            hit = np.flatnonzero(draws(key, (base + active)[which], pops) < np.uint64(self.dropout))
+            which = which[hit]
+            new = np.append(True, which[1:] != which[:-1]) if len(which) else np.zeros(0, dtype=bool)
+            active = active[which[new]]
+            node[active] = [tree.skip(a, p) for a, p in zip(node[active].tolist(), pops[hit[new]].tolist())]
+        out = list(map(tree.ids.__getitem__, node.tolist()))
+        for k, unit in long.items():
+            out[k] = self._alone(unit, key, base + k)
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32 bytes."""
         if not text:
             return b""
-        units = _UNITS.findall(META + text.replace(" ", META))
-        if self.variants == 1:
-            return b"".join(map(self.caches[0].__getitem__, units))
-        first = zlib.crc32(text.encode(), self.seed)
-        caches = self.caches
-        v = self.variants
-        return b"".join([caches[(first + k * 2654435761 >> 7) % v][u] for k, u in enumerate(units)])
+        key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
+        out, base = [], 0
+        for i, part in enumerate(text.split(META)):
+            if i:
+                out.append(self.mark)
+            units = self.units.findall(("" if i else META) + part.replace(" ", META))
+            for at in range(0, len(units), SLICE):
+                out.append(self._merge(units[at : at + SLICE], key, base + at))
+            base += len(units)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        joined = b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        return joined[3:].decode("utf-8", "replace").replace(META, " ")
+        return b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))[1:].decode("utf-8", "replace")
+
+
+@lru_cache(maxsize=1)
+def shared_bpe(path: str, dropout: float, seed: int) -> DropoutBpe:
+    """One a Python worker: the outcomes met in a task serve the next one."""
+    return DropoutBpe(path, dropout, seed)
 
 
-def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 13, variants: int = 2, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 13, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, lossless (decoding gives the text back), and ids if asked for."""
     path = path or model_path()
 
     def make():
-        bpe = DropoutBpe(path, dropout, seed, variants)
+        bpe = shared_bpe(path, dropout, seed)
 
         def one(doc_id, text):
             text = text or ""
@@ -176,7 +267,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def make():
-        bpe = DropoutBpe(path, 0)
+        bpe = shared_bpe(path, 0.0, 0)
         return lambda doc_id, ids: [(doc_id, bpe.decode(np.array(ids or (), dtype="<u4").tobytes()))]
 
     return map_rows(pick(encoded, "doc_id", "ids"), "doc_id long, text string", make, 2)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomspan.llm import html_extract, quality_mil, sentencepiece_dropout, toxicity
@@ -65,6 +66,55 @@ def test_dropout_varies_and_is_lossless():
     assert sentencepiece_dropout.DropoutBpe(sentencepiece_dropout.model_path(), 1.0).decode(whole) == "abc é" and len(whole) // 4 >= 6
 
 
+def slow_encode(bpe, text):
+    """Merge-dropout by the book: every pair of every unit is looked at, and each candidate has its own hash."""
+    key, out, number = xxhash.xxh64_intdigest(text.encode(), bpe.seed), [], 0
+    for unit in bpe.units.findall("\u2581" + text.replace(" ", "\u2581")):
+        parts, dead, pop = list(unit), set(), 0
+        places = list(range(len(parts)))
+        while True:
+            pairs = [(-bpe.score[a + b], places[i], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in bpe.score and (places[i], a, b) not in dead]
+            if not pairs:
+                break
+            i = min(pairs)[2]
+            x = (key + number * 0x9E3779B97F4A7C15 + pop * 0xD1342543DE82EF95) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            pop += 1
+            if x ^ x >> 31 < bpe.dropout:
+                dead.add((places[i], parts[i], parts[i + 1]))
+                continue
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del places[i + 1]
+        number += 1
+        out += [i for p in parts for i in ([bpe.id_of[p]] if p in bpe.id_of else [bpe.bytes[b] for b in p.encode()])]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 0.9])
+def test_dropout_is_drawn_for_each_candidate(dropout):
+    bpe = sentencepiece_dropout.DropoutBpe(sentencepiece_dropout.model_path(), dropout, 5)
+    for text in ["Hello world, internationalization! " * 20, "a" * 200, "thonble ating: é½日 x", "ab" * 70 + " aaaa", "word," * 30]:
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == slow_encode(bpe, text)
+
+
+def test_occurrences_are_segmented_afresh():
+    bpe = sentencepiece_dropout.DropoutBpe(sentencepiece_dropout.model_path(), 0.2)
+    bpe.encode("internationalization " * 400)
+    assert len({bpe.outcomes.ids[n] for n in range(len(bpe.outcomes.ids)) if bpe.outcomes.made_of[n][0] == "\u2581internationalization"}) > 20
+    rng = np.random.default_rng(3)
+    for unit in ("\u2581internationalization", "aabababababbbab", "\u2581" * 9 + "the"):
+        for _ in range(50):
+            skips = set(np.flatnonzero(rng.random(80) < 0.3).tolist())
+            assert bpe._scan(unit, skips.__contains__) == bpe._agenda(unit, skips.__contains__)
+
+
+@pytest.mark.parametrize("text", ["a\u2581b", "\u2581", "\u2581\u2581 x \u2581", " \u2581"])
+def test_the_mark_itself_is_lossless(text):
+    bpe = sentencepiece_dropout.DropoutBpe(sentencepiece_dropout.model_path(), 0.3)
+    assert bpe.decode(bpe.encode(text)) == text
+
+
 def test_encode_documents(spark):
     rows = [(1, "some text  here"), (2, None), (3, ""), (1, "some text  here"), (None, "é\n\t"), (4, "long " * 30_000)]
     out = sentencepiece_dropout.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=True)
