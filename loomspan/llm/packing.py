@@ -33,6 +33,8 @@ from .common import TOKENIZER_DIR, SparkSession, _arrow_schema, _to_batch, map_r
 
 #: Least salts of a length, and of full pieces, which need no partner; pieces of a salt beyond those.
 SALTS, FULL_SALTS, PER_SALT = 64, 4096, 100_000
+#: Search frames that keep their enumeration.
+FRAMES = 64
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json", folder: str = TOKENIZER_DIR) -> str:
@@ -298,54 +300,69 @@ def complete_bins(counts: dict[int, int], capacity: int, incumbent: Plan, bound:
     incumbent. A filling is tried for as many bins as it can fill, then for one, so that every
     mix of fillings is met; what is left over is not searched again with as much waste or more.
     """
-    most = sum(b for _, b in incumbent)
-    best, best_bins = incumbent, most + 1
+    best, best_bins = incumbent, sum(b for _, b in incumbent) + 1
     total = sum(n * c for n, c in counts.items())
+    left = dict(counts)
     nodes = max_nodes
-    met: dict[frozenset, int] = {}
+    met: dict[int, int] = {}  # hash of what is left over -> least waste
 
     def tick() -> bool:
         nonlocal nodes
         nodes -= 1
         return nodes >= 0
 
-    def moves(left: dict[int, int], waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        for filling in fillings(max(left), left, capacity, (best_bins - 1) * capacity - total - waste, tick):
+    def room(waste: int) -> int:
+        return (best_bins - 1) * capacity - total - waste
+
+    def moves(waste: int, look: Callable[[], bool] = tick) -> Iterator[tuple[tuple[int, ...], int]]:
+        for filling in fillings(max(left), left, capacity, room(waste), look):
             gap = capacity - sum(filling)
             times = min(left[n] // k for n, k in Counter(filling).items())
             if gap:
-                times = min(times, ((best_bins - 1) * capacity - total - waste) // gap)
+                times = min(times, room(waste) // gap)
             for t in (times, 1) if times > 1 else (1,):
                 yield filling, t
 
-    stack = [(moves(dict(counts), 0), dict(counts), 0, 0)]
+    def take(filling: tuple[int, ...], times: int) -> None:
+        for n, k in Counter(filling).items():
+            left[n] = left.get(n, 0) - k * times
+            if not left[n]:
+                del left[n]
+
+    # Of a deep branch only the last frames keep their enumeration; others begin again behind what they have tried.
+    stack: list[list] = [[moves(0), 0, 0, 0]]  # enumeration, tried, bins, waste
     plan: Plan = []
     while stack and nodes >= 0 and best_bins > bound:
-        options, left, bins, waste = stack[-1]
+        frame = stack[-1]
+        options, tried, bins, waste = frame
+        if options is None:
+            options = frame[0] = moves(waste, lambda: True)
+            for _ in range(tried):
+                next(options, None)
         filling, times = next(options, (None, 0))
+        frame[1] += 1
         if filling is None:
             stack.pop()
             if plan:
-                plan.pop()
+                filling, times = plan.pop()
+                take(filling, -times)
             continue
         used = waste + times * (capacity - sum(filling))
-        if used > (best_bins - 1) * capacity - total:
+        if room(used) < 0:
             continue
-        after = dict(left)
-        for n, k in Counter(filling).items():
-            after[n] -= k * times
-            if not after[n]:
-                del after[n]
-        if not after:
-            if bins + times < best_bins:
-                best, best_bins = [*plan, (filling, times)], bins + times
-            continue
-        key = frozenset(after.items())
-        if met.get(key, used + 1) <= used:
+        take(filling, times)
+        plan.append((filling, times))
+        if not left and bins + times < best_bins:
+            best, best_bins = list(plan), bins + times
+        key = hash(frozenset(left.items()))
+        if not left or met.get(key, used + 1) <= used:
+            plan.pop()
+            take(filling, -times)
             continue
         met[key] = used
-        plan.append((filling, times))
-        stack.append((moves(after, used), after, bins + times, used))
+        if len(stack) >= FRAMES:
+            stack[-FRAMES][0] = None
+        stack.append([moves(used), 0, bins + times, used])
     return best, best_bins <= bound or not stack and nodes >= 0
 
 
