@@ -17,29 +17,47 @@ def vectors(n, dim=8, seed=0, kinds=None):
     return [(int(i), [float(x) for x in pool[i % len(pool)]]) for i in range(n)]
 
 
+def clustered(n, centres=20, dim=16, seed=4):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim)) * 50
+    return np.floor(middle[rng.integers(centres, size=n)] + rng.normal(size=(n, dim))).astype(np.int64)
+
+
 @pytest.mark.parametrize("rows", [
-    vectors(230), vectors(300, kinds=7, seed=1), vectors(3), [],
+    vectors(230), vectors(300, kinds=7, seed=1), vectors(3), [], [(int(i), [float(c) / 256 for c in v]) for i, v in enumerate(clustered(700))],
     vectors(120, seed=2) + [(500, None), (550, [None] * 8), (600, [float("nan")] * 8), (650, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (700, [0.0] * 8), (750, [1000.0] * 8)],
+    vectors(90, seed=3) + [(i, [float(i)] * 3) for i in range(100, 137)] + [(200, []), (201, []), (250, [1.0, 2.0])],
 ])
 def test_topk_is_brute_force(spark, rows):
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(spark.createDataFrame(rows, VEC), rows_per_block=70, queries_per_block=2).collect())
-    assert got == topk_search.brute_force(rows)
+    for sample in (4096, 20) if len(rows) == 130 else (4096,):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(spark.createDataFrame(rows, VEC), rows_per_block=70, queries_per_block=2, sample=sample).collect())
+        assert got == topk_search.brute_force(rows)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = vectors(60) + vectors(60)[:10]
+    df = spark.createDataFrame(rows, VEC).selectExpr("*", "'x' AS v", "1 AS d", "2 AS cell", "'y' AS VEC_ID2")
+    got = topk_search.top_k(df).collect()
+    assert len(got) == 10 and all(r["vec_id"] != r["query_id"] for r in got)
 
 
 def test_pivots_eliminate_candidates():
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(20, 16)) * 50
-    x = np.floor(centres[rng.integers(20, size=4000)] + rng.normal(size=(4000, 16))).astype(np.int64)
-    table = topk_search.PivotTable(np.arange(4000), x)
-    got = table.search(7, x[7], 5)
+    """On clustered vectors the bounds leave little to evaluate; with no pivots all of it."""
+    x = clustered(4000)
+    p = topk_search.choose_pivots(x)
+    d = topk_search.distances(x, p)
+    table = topk_search.PivotTable(np.arange(4000), x, d)
     scores = x @ x[7]
     want = sorted(((int(s), i) for i, s in enumerate(scores) if i != 7), key=lambda t: (-t[0], t[1]))[:5]
-    assert got == want and table.evaluated < 3000
+    assert table.search(7, x[7], d[7], 5) == want and table.evaluated < 1000
+    assert topk_search.evaluated_share(x) < 0.3 and topk_search.evaluated_share(x, n_pivots=0) > 0.6
+    upper = table.bounds(float(x[7] @ x[7]), d[7])
+    assert (upper >= scores).all()
 
 
 def test_large_components_stay_exact():
     x = np.array([[3_000_000_000, 1], [2_999_999_999, 5]], dtype=np.int64)
-    assert topk_search.PivotTable(np.arange(2), x[:, :]).search(9, np.array([1, 1]), 5) == [(3_000_000_004, 1), (3_000_000_001, 0)]
+    assert topk_search.PivotTable(np.arange(2), x, np.zeros((2, 0))).search(9, np.array([1, 1]), np.zeros(0), 5) == [(3_000_000_004, 1), (3_000_000_001, 0)]
 
 
 NASTY = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 666\r\nContent-Length: 3\r\n\r\nabc\r\n\r\ny"
