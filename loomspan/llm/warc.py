@@ -6,15 +6,15 @@ Writing: one record per page; of pages with equal payloads of at least
 Reading: archives are read in splits, cut at CRLF CRLF. Every cut that starts
 with a WARC version line is a *candidate* record, also when it lies inside a
 payload; its task emits its offset and that of its successor by its declared
-length. Chains are shortened to one hop a split; then pointer jumping (doubling, a
-logarithmic number of joins) from the start of each file keeps the records on its chain.
-Magic inside payloads is on no chain.
+length. Chains are shortened to one hop a segment of ``segment`` bytes of a file; then pointer
+jumping (doubling, a logarithmic number of joins) from the start of each file finds where its
+chain enters each segment, and so which records are on it. Magic inside payloads is on no chain.
 
 * Payloads whose end lies in another split are put together from the splits they span.
 * A null html is an empty payload; null ids and urls are left out of the header and null on reading.
   Repeated rows of the page with the largest id are responses each. An empty table writes no records.
-* Archives are gzip by default (one split each, at most ``records_per_file`` records);
-  plain ones are split. Both go through Spark's writers and readers, so any store will do.
+* Archives are plain by default, and read in splits; gzip ones are one split each (at most
+  ``records_per_file`` records). Both go through Spark's writers and readers, so any store will do.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, scratch_path
+from .common import discard, materialize, pick, scratch_path
 
 CUT = "\r\n\r\n"
 MAGIC = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
@@ -41,6 +41,7 @@ def page_records(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
         base.where(F.col("n_bytes") >= min_revisit_bytes).groupBy("digest")
         .agg(F.max("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").select(F.col("digest").alias("__digest"), "__first")
     )
+    twice = materialize(twice, "warc-copies")  # of known size: pages are only shuffled if it is too large to broadcast
     joined = base.join(twice, F.col("digest") == F.col("__digest"), "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("__first")), F.col("__first"))
     return joined.select("page_id", "url", "html", "digest", "n_bytes", refers.alias("refers_to"))
@@ -69,7 +70,7 @@ def record_text(records: DataFrame) -> DataFrame:
     return records.select(F.concat(header, F.lit(CUT), F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, compress: bool = True, records_per_file: int = 50_000) -> None:
+def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, compress: bool = False, records_per_file: int = 50_000) -> None:
     out = record_text(page_records(pages, min_revisit_bytes)).write.option("lineSep", CUT).option("maxRecordsPerFile", records_per_file)
     (out.option("compression", "gzip") if compress else out).text(path)
 
@@ -150,11 +151,12 @@ def _cuts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("cut"))
 
 
-def on_chain(edges: DataFrame) -> DataFrame:
+def on_chain(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(file, at) reachable from offset 0 over (file, at, next), next > at: pointer jumping.
 
     After round i a marked record has marked the 2^i records after it, and every
-    pointer spans 2^i records; each round is two joins of (file, offset) rows.
+    pointer spans 2^i records; each round is two joins of (file, offset) rows. ``rounds`` gets the
+    number of each round's marked records.
     """
     state = materialize(edges.select("file", "at", F.col("next").alias("jump"), (F.col("at") == 0).alias("on")), "chain")
     while True:
@@ -164,40 +166,49 @@ def on_chain(edges: DataFrame) -> DataFrame:
             return state.where("on").select("file", "at")
         marks = state.where("on").select(F.col("file").alias("f"), F.col("jump").alias("a")).distinct().withColumn("hit", F.lit(True))
         marked = moved.select("file", "at", F.col("j").alias("jump"), "on").join(marks, (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")), "left")
-        state = materialize(marked.select("file", "at", "jump", (F.col("on") | F.coalesce("hit", F.lit(False))).alias("on")), "chain")
+        before, state = state, materialize(marked.select("file", "at", "jump", (F.col("on") | F.coalesce("hit", F.lit(False))).alias("on")), "chain")
+        discard(before)
+        if rounds is not None:
+            rounds.append(state.where("on").count())
 
 
-def _exits(block: pd.DataFrame) -> pd.DataFrame:
-    """For each candidate of a split, where its chain leaves the split. Of a file's first split only offset 0 can be entered."""
+def _exits(segment: pd.DataFrame) -> pd.DataFrame:
+    """For each candidate of a segment, where its chain leaves the segment. Of a file's first segment only offset 0 can be entered."""
     leaves: dict[int, int] = {}
-    for at, after in sorted(zip(block["at"], block["next"]), reverse=True):
+    for at, after in sorted(zip(segment["at"], segment["next"]), reverse=True):
         leaves[at] = leaves.get(after, after)
-    out = block.assign(next=[leaves[a] for a in block["at"]])
-    return out[out["at"] == 0] if block["block"].iloc[0] == 0 else out
+    out = segment.assign(next=[leaves[a] for a in segment["at"]])
+    return out[out["at"] == 0] if segment["segment"].iloc[0] == 0 else out
 
 
-def _followed(block: pd.DataFrame) -> pd.DataFrame:
-    """The candidates of a split on the chains from its entries."""
-    after = dict(zip(block["at"], block["next"]))
+def _followed(segment: pd.DataFrame) -> pd.DataFrame:
+    """The candidates of a segment on the chain from its entry: at most one of the file's chain, by the jumps."""
+    after = dict(zip(segment["at"], segment["next"]))
     seen: set[int] = set()
-    for at in block.loc[block["entry"], "at"]:
+    for at in segment.loc[segment["entry"], "at"]:
         while at in after and at not in seen:
             seen.add(at)
             at = after[at]
-    return block.loc[block["at"].isin(seen), ["file", "at"]]
+    return segment.loc[segment["at"].isin(seen), ["file", "at"]]
 
 
-def chained(edges: DataFrame) -> DataFrame:
-    """:func:`on_chain` over (file, block, at, next): chains are shortened to one hop a split first, so the
-    joins run over splits, and their rounds are the logarithm of a file's splits. A group is the candidates of one split."""
-    edges = materialize(edges, "warc-edges")
-    hops = edges.groupBy("file", "block").applyInPandas(_exits, edges.schema)
-    entries = on_chain(hops.select("file", "at", "next")).withColumn("entry", F.lit(True))
+def chained(edges: DataFrame, segment: int = 1 << 20, rounds: list[int] | None = None) -> DataFrame:
+    """:func:`on_chain` over (file, at, next): chains are shortened to one hop a segment first, so the
+    joins run over segments, and their rounds are the logarithm of a file's segments.
+
+    A group is the candidates of one segment, so it is bounded by ``segment``. Candidates that no
+    segment's chain leads to cannot be entered, and take no part in the jumps.
+    """
+    edges = materialize(edges.withColumn("segment", F.floor(F.col("at") / segment).cast("long")), "warc-edges")
+    hops = materialize(edges.groupBy("file", "segment").applyInPandas(_exits, edges.schema).select("file", "at", "next"), "warc-hops")
+    targets = hops.select("file", F.col("next").alias("at")).distinct()
+    doors = hops.where("at = 0").unionByName(hops.where("at > 0").join(targets, ["file", "at"], "left_semi"))
+    entries = on_chain(doors, rounds).withColumn("entry", F.lit(True))
     marked = edges.join(entries, ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
-    return marked.groupBy("file", "block").applyInPandas(_followed, "file string, at long")
+    return marked.groupBy("file", "segment").applyInPandas(_followed, "file string, at long")
 
 
-def read_warc(spark: SparkSession, path: str, keep_body: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, keep_body: bool = False, segment: int = 1 << 20, rounds: list[int] | None = None) -> DataFrame:
     """file, at, header, length, digest (of the stored payload) and body (if kept) of the records on each file's chain."""
     seen = materialize(_cuts(spark, path).mapInArrow(lambda batches: _scan(batches, keep_body), _CANDIDATE_DDL), "warc-candidates")
     totals = seen.where("kind = 'total'").select("file", "block", F.col("at").alias("n"))
@@ -207,8 +218,8 @@ def read_warc(spark: SparkSession, path: str, keep_body: bool = False) -> DataFr
         "file", "block", "kind", "header", "length", "digest", "body", (F.col("base") + F.col("at")).alias("at"),
         (F.col("base") + F.col("at") + F.col("head")).alias("body_at"),
     )
-    edges = found.select("file", "block", "at", (F.col("body_at") + F.col("length") + 4).alias("next"))
-    good = found.join(chained(edges), ["file", "at"])
+    edges = found.select("file", "at", (F.col("body_at") + F.col("length") + 4).alias("next"))
+    good = found.join(chained(edges, segment, rounds), ["file", "at"])
     whole = good.where("kind = 'whole'").select("file", "at", "header", "length", "digest", "body")
     split = materialize(good.where("kind = 'open'").select("file", "at", "header", "length", "body_at"), "warc-split")
     if split.isEmpty():
@@ -245,7 +256,7 @@ def header_field(name: str):
     return F.nullif(F.regexp_extract("header", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
-def archive_digest(pages: DataFrame, path: str | None = None, compress: bool = True) -> DataFrame:
+def archive_digest(pages: DataFrame, path: str | None = None, compress: bool = False, segment: int = 1 << 20, rounds: list[int] | None = None) -> DataFrame:
     """Write ``pages``, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, verified.
 
     A response's length and digest are those of the payload read back; a revisit's are its header's.
@@ -256,7 +267,7 @@ def archive_digest(pages: DataFrame, path: str | None = None, compress: bool = T
     kind = header_field("WARC-Type")
     declared = F.regexp_replace(header_field("WARC-Payload-Digest"), "^sha1:", "")
     revisit = kind == "revisit"
-    return read_warc(spark, path).select(
+    return read_warc(spark, path, segment=segment, rounds=rounds).select(
         header_field("X-Page-ID").cast("long").alias("page_id"),
         F.when(revisit, header_field("X-Payload-Length").cast("long")).otherwise(F.col("length")).alias("payload_bytes"),
         F.when(revisit, declared).otherwise(F.col("digest")).alias("payload_digest"),

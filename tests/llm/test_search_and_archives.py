@@ -103,6 +103,15 @@ def test_warc_splits_are_stitched(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_jumps_decide_what_stays(spark, tmp_path):
+    """Plain archives of several segments take several rounds; candidates inside payloads are there, and none stays."""
+    rows = [(i, f"http://h/{i}", (NASTY + str(i)) * 30) for i in range(120)]
+    rounds = []
+    out = warc.archive_digest(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), segment=20_000, rounds=rounds)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == expected(rows)
+    assert len(rounds) > 3 and rounds == sorted(rounds)
+
+
 def test_warc_empty(spark, tmp_path):
     assert warc.archive_digest(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w")).collect() == []
 
