@@ -20,24 +20,87 @@ def page(body, nav="Home", foot="&copy; host"):
     (None, ""), ("", ""), ("plain  text", "plain text"), (page("<h1>A &amp; B</h1><p><b>One.<br><p>Two\n  three</p>"), "A & B\nOne.\nTwo three"),
     (page("<p>a<script>x</script>b</p><!-- c --><p>&#233;&nbsp;&lt;</p>"), "ab\né <"), (page("<p>cut &am")[:-60] if False else HEAD + "<article><p>cut &am", "cut &am"),
     (page("<header><h2>Title</h2></header><p>x <a href=y>link</a> z</p><ul><li>i<li>j</ul>"), "Title\nx link z\ni\nj"),
-    (page("<p>t</p><nav>n</nav><div class='share-buttons'>s</div><p style='display:none'>h</p>"), "t"),
+    (page("<p>t</p><nav>n</nav><p style='display:none'>h</p><aside>a</aside>"), "t"),
+    *((page(f"<p>t</p>{x}"), "t\nkeep") for x in (
+        '<p title="the hidden valley">keep</p>', '<p data-id="ad">keep</p>', '<p data-hidden="false">keep</p>', '<p class="legal">keep</p>', '<p class="related-work">keep</p>',
+        '<section id="search-methods">keep</section>', '<ul class="tags"><li>keep</ul>')),
 ])
 def test_single_pages(html, text):
-    assert html_extract.extract_stretch([html]) == [text]
+    assert html_extract.extract_group([html]) == [text]
 
 
-def test_template_is_learned():
-    made = [f"<html><body><div class=top>Welcome to our site</div><div class=c><p>{'story %d ' % i * 20}</p><p>{'more %d ' % i * 15}</p></div><div class=bottom>Imprint and terms</div></body></html>" for i in range(8)]
-    for i, text in enumerate(html_extract.extract_stretch([*made, made[0]])[:8]):
-        assert text == ("story %d " % i * 20).strip() + "\n" + ("more %d " % i * 15).strip()
+def bare(body, ad="Buy now", foot="Imprint"):
+    """No declared article, and boilerplate that nothing but repetition tells apart."""
+    return f"<html><body><div class=top><div>Welcome</div><div>{ad}</div></div><div class=c>{body}</div><div class=bottom><div>{foot}</div></div></body></html>"
+
 
+STORIES = [bare("".join(f"<p>{f'story {i} part {k} ' * (9 + k)}</p>" for k in range(3)), ad=f"Offer {i % 2}") for i in range(8)]
+WANT = ["\n".join((f"story {i} part {k} " * (9 + k)).strip() for k in range(3)) for i in range(8)]
 
-def test_tree_matching_aligns_in_order():
-    a, b = (html_extract.parse(h)[0] for h in ("<div><p>1</p><h2>x</h2><p>2</p></div>", "<div><h2>y</h2><p>3</p><p>4</p><table><tr><td>z</table></div>"))
-    html_extract.collapse(a)
-    html_extract.collapse(b)
-    pairs = []
-    assert html_extract.match(a, b, pairs) == 4 and [x[0].tag for x, _ in pairs] == ["div", "h2", "p"]
+
+def test_template_is_learned():
+    assert html_extract.extract_group([*STORIES, STORIES[0]]) == [*WANT, WANT[0]]
+
+
+def test_the_wrapper_decides(monkeypatch):
+    """A page whose own text is shorter than its boilerplate: the region comes from its neighbours, and is lost without induction."""
+    short = bare("<p>Tiny.</p>", ad="An unusually long advert that outweighs the text. " * 3, foot="Another long and unique footer text here. " * 3)
+    assert html_extract.extract_group([*STORIES, short])[-1] == "Tiny." != html_extract.extract_group([short])[0]
+    learned, together = html_extract.induce, html_extract.extract_group([*STORIES, short])
+    monkeypatch.setattr(html_extract, "induce", lambda trees: [w for t in trees for w in learned([t])])
+    assert html_extract.extract_group([*STORIES, short]) != together
+    monkeypatch.setattr(html_extract, "induce", lambda trees: [html_extract.Wrapper(set(), set()) for _ in trees])
+    assert set(html_extract.extract_group([*STORIES, page("<p>x</p>")])) == {""}
+
+
+def test_constant_blocks_in_articles_need_many_pages():
+    made = [page(f"<p>{f'text {i} ' * 20}</p><p class=x>Read our terms</p>") for i in range(12)]
+    assert all("terms" not in t for t in html_extract.extract_group(made)) and all("terms" in t for t in html_extract.extract_group(made[:11]))
+
+
+def test_order_does_not_matter(spark):
+    rows = [(i, f"http://h.example/{i}", STORIES[i % 8].replace("story", f"story{i}")) for i in range(150)]
+    frames = (spark.createDataFrame(r, "page_id long, url string, html string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 5)))
+    first, second = ({r["page_id"]: r["text"] for r in html_extract.extract_pages(f).collect()} for f in frames)
+    assert first == second and len(first) == 150
+
+
+def test_deep_and_long_pages():
+    deep = [f"<html><body>{'<div>' * 3000}{f'deep {i} ' * 9}{'</div>' * 3000}<p>x</p></body></html>" for i in range(5)]
+    assert html_extract.extract_group(deep) == [(f"deep {i} " * 9).strip() for i in range(5)]
+    tangled = "<b><p>" * 2000 + "t" + "</i></b></div>" * 2000 + "<a href='x\">" + "</p" * 50
+    assert html_extract.extract_group([tangled] * 5) == html_extract.extract_group([tangled]) * 5
+    lists = [f"<html><body><article>{''.join(f'<dl><dt>k{k}</dt><dd>v{i}</dd></dl><p>p</p>' for k in range(900 + i))}</article></body></html>" for i in range(5)]
+    assert [t.count("v") for t in html_extract.extract_group(lists)] == [900 + i for i in range(5)]
+
+
+def slow_match(a, b):
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.runs) + 1) for _ in range(len(a.runs) + 1)]
+    for i, x in enumerate(a.runs):
+        for j, y in enumerate(b.runs):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + slow_match(x[0], y[0]))
+    return 1 + best[-1][-1]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_tree_matching_is_the_plain_recurrence(seed):
+    rng = np.random.default_rng(seed)
+
+    def tree(depth):
+        tag = ["div", "p", "ul", "section"][rng.integers(4)]
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(rng.integers(5)))}</{tag}>" if depth else "<h2>x</h2>"
+
+    a, b = (html_extract.parse("".join(tree(3) for _ in range(4)))[0] for _ in range(2))
+    for t in (a, b):
+        html_extract.collapse(t)
+    size, pairs = html_extract.match(a, b)
+    assert size == slow_match(a, b) == len(pairs)
+    x, y, w = rng.integers(6, size=400), rng.integers(6, size=300), rng.integers(5, size=(6, 6))
+    got = html_extract._trace(x, y, w)
+    assert sum(w[x[i], y[j]] for i, j in got) == html_extract._last_row(x, y, w)[-1]
+    assert all(p < q and r < s for (p, r), (q, s) in zip(got, got[1:]))
 
 
 def test_extract_pages(spark):
