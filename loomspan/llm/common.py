@@ -22,14 +22,32 @@ WORD = rf"[^{SPACE}]+"
 TOKENIZER_DIR = "/opt/tokenizers"
 
 
+def _place(columns: list[str], name: str) -> int | None:
+    """Of columns that share a name (any case) an exact match wins, then the first."""
+    exact = [i for i, c in enumerate(columns) if c == name]
+    return next(iter(exact or [i for i, c in enumerate(columns) if c.lower() == name.lower()]), None)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Select ``names``; of columns that share a name (any case) an exact match wins, then the first."""
     unique = [f"__c{i}" for i in range(len(df.columns))]
-    at = []
-    for name in names:
-        exact = [i for i, c in enumerate(df.columns) if c == name]
-        at.append((exact or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()])[0])
-    return df.toDF(*unique).select(*(F.col(unique[i]).alias(n) for i, n in zip(at, names)))
+    return df.toDF(*unique).select(*(F.col(unique[_place(df.columns, n)]).alias(n) for n in names))
+
+
+class Whole:
+    """All columns of a table under names of their own (``__c0``, ...), so that no name in it can clash with a helper's.
+
+    ``at`` has the own name of a named column (None if there is none); ``back`` gives the old names and order.
+    """
+
+    def __init__(self, df: DataFrame, *names: str):
+        self.columns = df.columns
+        self.own = [f"__c{i}" for i in range(len(df.columns))]
+        self.frame = df.toDF(*self.own)
+        self.at = {n: None if (k := _place(df.columns, n)) is None else self.own[k] for n in names}
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.own).toDF(*self.columns)
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], n_in: int) -> DataFrame:

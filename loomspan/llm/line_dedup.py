@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_rows, materialize, pick
+from .common import Whole, map_batches, map_rows, materialize, pick
 
 _TABLE = {c: c + 32 for c in range(65, 91)}
 _SEED2 = xxhash.xxh64_intdigest((1).to_bytes(8, "little"), 42)
@@ -70,11 +70,15 @@ def dedup_lines_digest(docs: DataFrame, min_docs: int = 10) -> DataFrame:
 
 
 def dedup_lines_in_place(docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """``docs``, all rows and columns, with the frequent lines gone from text and n_chars (if there) the new length."""
+    """``docs``, all rows and columns, with the frequent lines gone from text and n_chars (if there) the new length.
+
+    A null text stays null; columns may have any names beside doc_id and text.
+    """
     import pyarrow as pa
 
+    whole = Whole(docs, "doc_id", "text", "n_chars")
     drops = frequent_keys(docs, min_docs).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("key").alias("__drop"))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left").drop("__id")
+    joined = whole.frame.join(drops, F.col(whole.at["doc_id"]).eqNullSafe(F.col("__id")), "left").drop("__id")
 
     def make():
         def clean(text, drop):
@@ -82,16 +86,18 @@ def dedup_lines_in_place(docs: DataFrame, min_docs: int = 10) -> DataFrame:
             return "\n".join(x for x in text.split("\n") if _key_hash(x) not in gone)
 
         def one(batch):
-            texts, drops = batch.column("text").to_pylist(), batch.column("__drop").to_pylist()
+            texts, drops = batch.column(whole.at["text"]).to_pylist(), batch.column("__drop").to_pylist()
             made = [clean(t, d) if d and t else t for t, d in zip(texts, drops)]
             for name, values in (("text", made), ("n_chars", [None if t is None else len(t) for t in made])):
-                if (k := batch.schema.get_field_index(name)) >= 0:
+                if whole.at[name]:
+                    k = batch.schema.get_field_index(whole.at[name])
                     batch = batch.set_column(k, batch.schema.field(k), pa.array(values, type=batch.schema.field(k).type))
             return batch
 
         return one
 
-    return map_batches(joined, make, drop=("__drop",))
+    whole.frame = None  # workers need the names only
+    return whole.back(map_batches(joined, make, drop=("__drop",)))
 
 
 def reference_dedup(rows: list[tuple], min_docs: int = 10) -> dict:

@@ -7,7 +7,8 @@ Weights are learned from document labels alone.
 
 * Training rows: labelled documents whose crc32(doc_id) mod 5 is not 0, at most
   ``max_train`` of each label, chosen by hash of the id: a documented bound, so that the
-  chosen ids are broadcast and every task keeps only their passages.
+  chosen ids are broadcast and every task keeps only their passages. Of an id with several
+  texts the smallest is learned.
 * Whole texts are scored: all passages count. An empty or null text is one empty passage.
 * Labels that are null or contradict each other within a doc_id are not learned. With
   labels of one value only (or none) every score is that share (0.5 if none).
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, held_out, map_batches, map_rows, pick
+from .common import Whole, WordCache, held_out, map_batches, map_rows, pick
 
 PASSAGE = 64
 _PUNCT = set(".,;:!?'\"()-")
@@ -172,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> MilModel
         encode = Passages()
         return lambda doc_id, text, label: [(doc_id, label, encode(text).tobytes())]
 
-    got = map_rows(rows.select("doc_id", "text", "label"), "doc_id long, label int, bag binary", make, 3).collect()
+    texts = rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # of a repeated id one text, so the bound is one of rows too
+    got = map_rows(texts.select("doc_id", "text", "label"), "doc_id long, label int, bag binary", make, 3).collect()
     got = sorted({(r["doc_id"], bytes(r["bag"])): r["label"] for r in got}.items())
     y = np.array([label for _, label in got], dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -198,14 +200,20 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, max_train: int = 3000
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = 3000, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``threshold``. The model is trained on what ``docs`` holds of the labelled rows."""
+    """The rows of ``docs``, all columns, that score at least ``threshold``. The model is trained on what ``docs`` holds of the labelled rows.
+
+    A null text scores as an empty one, repeated rows stay or go together, an empty table stays
+    empty, and columns may have any names beside doc_id and text.
+    """
     import pyarrow as pa
 
     model = train(docs, labels, max_train)
+    whole = Whole(docs, "text")
+    text = whole.at["text"]
 
     def make():
         encode = Passages()
         score = (lambda text: model) if isinstance(model, float) else (lambda text: model.score(encode(text)))
-        return lambda batch: batch.filter(pa.array([score(t) >= threshold for t in batch.column("text").to_pylist()], type=pa.bool_()))
+        return lambda batch: batch.filter(pa.array([score(t) >= threshold for t in batch.column(text).to_pylist()], type=pa.bool_()))
 
-    return map_batches(docs, make)
+    return whole.back(map_batches(whole.frame, make))

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialize, pick
+from .common import SPACE, WORD, Whole, materialize, pick
 
 #: Frequent function words of each language.
 COMMON_WORDS = {
@@ -59,12 +59,9 @@ def _left_out(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def document_statistics(docs: DataFrame, rules: QualityRules = QualityRules(), carry: bool = False) -> DataFrame:
-    """One row per row: doc_id, lang, the base counts, base_failed, and both histograms as arrays of long; ``carry`` keeps the row as a struct."""
-    if carry:
-        base = docs.select(F.struct("*").alias("__row"), *(docs[c] for c in ("doc_id", "lang", "text")))
-    else:
-        base = pick(docs, "doc_id", "lang", "text").withColumn("__row", F.lit(None).cast("boolean"))
+def document_statistics(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """One row per row: doc_id, lang, the base counts, base_failed, and both histograms as arrays of long; a column ``__row`` of ``docs`` stays."""
+    base = docs if docs.columns == ["doc_id", "lang", "text", "__row"] else pick(docs, "doc_id", "lang", "text").withColumn("__row", F.lit(None).cast("boolean"))
     base = base.withColumn("text", F.coalesce("text", F.lit("")))
     one = base.select(
         "doc_id", "lang", "__row",
@@ -177,6 +174,12 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep; references come from all of ``docs``."""
-    references = materialize(language_references(document_statistics(docs, rules).drop("__row")), "language-references")
-    return judge(document_statistics(docs, rules, carry=True), references, rules).where("kept").select("__row.*")
+    """The rows of ``docs``, all columns, that the rules keep; references come from all of ``docs``.
+
+    Nulls, repeated rows and empty tables are as in :func:`quality_rules`; columns may have any
+    names beside doc_id, lang and text. Statistics are made once and written beside their rows.
+    """
+    whole = Whole(docs, "doc_id", "lang", "text")
+    rows = whole.frame.select(*(F.col(whole.at[n]).alias(n) for n in ("doc_id", "lang", "text")), F.struct("*").alias("__row"))
+    stats = materialize(document_statistics(rows, rules), "quality-stats")
+    return whole.back(judge(stats, materialize(language_references(stats), "language-references"), rules).where("kept").select("__row.*"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, map_rows, materialize, pick
+from .common import Whole, discard, map_batches, map_rows, materialize, pick
 from .components import connected_components
 
 
@@ -76,14 +76,18 @@ def near_pairs(fps: DataFrame, max_bucket: int = 4096) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = 3, seed: int = 42, max_bucket: int = 4096) -> DataFrame:
     """doc_id, fp, root (smallest fingerprint reachable), component_id (smallest doc_id reachable through links) for every row."""
-    sigs = materialize(fingerprints(docs, width, seed), "fingerprints")
+    return linked(materialize(fingerprints(docs, width, seed), "fingerprints"), max_bucket)
+
+
+def linked(sigs: DataFrame, max_bucket: int = 4096) -> DataFrame:
+    """:func:`classes` of a written table of (doc_id, fp); more columns stay."""
     fps = materialize(sigs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fps")
     roots = connected_components(near_pairs(fps.select("fp"), max_bucket))
     named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = materialize(named.join(ids, "root").select("fp", "root", "component_id"), "fp-classes")
     discard(fps)
-    return sigs.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id")
+    return sigs.join(by_fp, "fp").select(*sigs.columns, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, max_bucket: int = 4096) -> DataFrame:
@@ -96,19 +100,26 @@ def near_duplicates_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """Of each class of ``docs``, the row with the smallest id (a null id if it has no other), all columns; of repeated rows of that id, one."""
+    """Of each class of ``docs``, the row with the smallest id (a null id if it has no other), all columns; of repeated rows of that id, one.
+
+    A null text is an empty one, an empty table stays empty, and columns may have any names beside
+    doc_id and text. Texts are fingerprinted once, into a written table with a number for each row;
+    the rows to keep are chosen by number, and texts move once.
+    """
     import pyarrow as pa
 
-    first = classes(docs, width, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("root").agg(F.min("component_id").alias("component_id"), F.min("fp").alias("__first_fp"))
+    whole = Whole(docs, "doc_id", "text")
+    text = whole.at["text"]
 
     def make():
         def one(batch):
-            fps = pa.array([fingerprint(t, width, seed) for t in batch.column("text").to_pylist()], type=pa.int64())
+            fps = pa.array([fingerprint(t, width, seed) for t in batch.column(text).to_pylist()], type=pa.int64())
             return batch.set_column(batch.schema.get_field_index("__fp"), "__fp", fps)
 
         return one
 
-    marked = map_batches(docs.withColumn("__fp", F.lit(0).cast("long")), make)
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["component_id"]) & (marked["__fp"] == first["__first_fp"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).drop("__fp")
+    marked = map_batches(whole.frame.withColumn("__fp", F.lit(0).cast("long")), make)
+    written = materialize(marked.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    named = linked(written.select(F.col(whole.at["doc_id"]).alias("doc_id"), F.col("__fp").alias("fp"), "__row"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    return whole.back(written.join(first, "__row", "left_semi"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from loomspan.llm import line_dedup, packing, quality_mil, quality_rules, simhash
 
 
@@ -36,3 +38,39 @@ def test_run_is_the_stages(spark, sf):
 
     out = corpus_pipeline.run(spark, sf)
     assert out.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"] and out.count() > 0
+
+
+ODD = [(None, None, None), (1, "", "en"), (1, "", "en"), (2, "a b c", None), (None, "a b c", "xx"), (3, "long " * 30_000, "de"), (4, "the of and to in " * 30, "en"), (4, "the of and to in " * 30, "en")]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_take_odd_tables(spark, sf, stage):
+    """Nulls, empty and long texts, repeated rows, clashing column names, and no rows at all."""
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
+    extra = ["'T' AS TEXT", "1 AS __fp", "'i' AS __id", "'d' AS __drop", "2 AS __row", "3 AS __c0", "4 AS fp", "5 AS n_words", "6 AS kept", "7 AS root", "'k' AS key", "8 AS Doc_Id"]
+    clashing = docs.selectExpr("*", *extra)
+    plain = sorted(map(str, (tuple(r) for r in run(spark, docs, sf).collect())))
+    out = run(spark, clashing, sf)
+    assert out.columns == clashing.columns
+    rows = [tuple(r) for r in out.collect()]
+    assert sorted(str(r[:3]) for r in rows) == plain and all(r[3:] == ("T", 1, "i", "d", 2, 3, 4, 5, 6, 7, "k", 8) for r in rows)
+    assert run(spark, clashing.limit(0), sf).collect() == []
+    texts = sorted(str(r[0]) + str(r[1])[:9] for r in rows)
+    if name == "line_dedup":
+        assert len(rows) == len(ODD) and sum(r[1] is None for r in rows) == 1
+    if name == "simhash_near_dedup":
+        assert texts == ["1", "2a b c", "3long long", "4the of an"]
+    if name == "quality_rules":
+        assert rows == []  # all are short or repeat themselves
+
+
+def test_last_stage_takes_odd_tables(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string").selectExpr("*", "'T' AS TEXT", "1 AS piece", "2 AS length", "3 AS __salt")
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert sum(r["piece"] == 0 for r in out) == len(ODD)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).collect() == []
