@@ -230,6 +230,7 @@ def read_warc(spark: SparkSession, path: str, keep_body: bool = False, segment:
 def _put_together(spark: SparkSession, path: str, bases: DataFrame, split: DataFrame, keep_body: bool) -> DataFrame:
     """Payloads that cross splits (at most one on the chain per split): their cuts are read again and joined by offset."""
     ends = bases.select("file", "block", "base").join(split, "file").where("base < body_at + length").select("file", "block", "base", "at", "body_at", "length")
+    ends = materialize(ends, "warc-ends")  # a row for each end of a split or so: of known size, so that cuts are shuffled only if it is large
 
     def place(batches):
         here, at = None, 0
