@@ -63,7 +63,7 @@ def section_title(h: Column) -> Column:
         .when(h.rlike(SECTION_DASH) & ~F.regexp_extract(h, SECTION_DASH, 3).rlike(r"^\d+$"), F.regexp_extract(h, SECTION_DASH, 3))
         .otherwise(F.regexp_extract(h, SECTION_ALT, 2))
     )
-    return F.concat_ws(" ", section_anchor(h), F.trim(title))
+    return F.concat_ws(" ", section_anchor(h), T.strip(title))
 
 
 def _edge_trim(c: Column) -> Column:
@@ -73,13 +73,13 @@ def _edge_trim(c: Column) -> Column:
 def lines(chapters: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(key, n, line, is_heading, cls, heading, inline): one row per line, up to the first problem zone."""
     rows = chapters.select(key, F.posexplode(F.split(F.regexp_replace(text, r"\r\n?|[\x0b\x0c\x1c-\x1e\u0085  ]", "\n"), "\n", -1)).alias("n", "line"))
-    heading = F.trim(F.regexp_extract("line", r"^#\s+(.+?)\s*$", 1))
+    heading = T.strip(F.regexp_extract("line", r"^#\s+(.+?)\s*$", 1))
     rows = rows.withColumn("is_heading", F.col("line").rlike(r"^#\s+(.+?)\s*$")).withColumn("heading", heading)
     rows = rows.withColumn("cls", F.when(F.col("is_heading"), heading_class(F.col("heading"))))
     w = Window.partitionBy(key).orderBy("n")
     rows = rows.withColumn("gated", F.max((F.coalesce("cls", F.lit("")) == "problem_zone").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
     rows = rows.where(~F.col("gated")).drop("gated")
-    said = F.trim("line")
+    said = T.strip("line")
     # A paragraph starts at the file's start, after a blank line and after a heading.
     starts = F.coalesce(F.lag((said == "") | F.col("is_heading")).over(w), F.lit(True)) & ~F.col("is_heading") & (said != "")
     title = F.coalesce(*(F.when(said.rlike(p), _edge_trim(F.regexp_extract(said, p, 1))) for p in INLINE_EXAMPLES))
@@ -88,14 +88,14 @@ def lines(chapters: DataFrame, key: str = "path", text: str = "text") -> DataFra
 
 def chapter_titles(chapters: DataFrame, key: str = "path", text: str = "text", fallback: str = "chapter") -> DataFrame:
     """key, chapter_title: the leading headings before the first part, without 'Chapter N' and bare numbers, at most 200 characters."""
-    rows = chapters.select(key, fallback, F.posexplode(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")).alias("n", "line"))
-    h = F.trim(F.regexp_extract("line", r"^#\s+(.+?)\s*$", 1))
+    rows = chapters.select(key, fallback, F.posexplode(F.filter(F.split(text, "\n", -1), lambda x: T.strip(x) != "")).alias("n", "line"))
+    h = T.strip(F.regexp_extract("line", r"^#\s+(.+?)\s*$", 1))
     label = F.lower(h).rlike(r"^(?:part|chapter)\s*[ivxlc0-9]*\s*$") | h.rlike(r"^\d+$")
     stop = ~F.col("line").rlike(r"^#\s+(.+?)\s*$") | (~label & heading_class(h).isin("section", "example", "problem_zone")) | (label & h.rlike(SECTION_DOT))
     w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     kept = rows.withColumn("h", h).withColumn("label", label).withColumn("stopped", F.max(stop.cast("int")).over(w)).where("stopped = 0 AND NOT label")
     picked = kept.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "h"))), 1, 6).alias("t"))
-    title = F.left(F.trim(F.regexp_replace(F.array_join(F.transform("t", lambda x: x["h"]), " "), r"\s+", " ")), F.lit(200))
+    title = F.left(T.strip(F.regexp_replace(F.array_join(F.transform("t", lambda x: x["h"]), " "), r"\s+", " ")), F.lit(200))
     return chapters.select(key, fallback).join(picked.select(key, title.alias("t")), key, "left").select(key, F.coalesce("t", F.col(fallback)).alias("chapter_title"))
 
 
@@ -123,10 +123,10 @@ def raw_fragments(chapters: DataFrame, key: str = "path", manual: str | None = N
     ls = ls.withColumn("s_no", F.coalesce("s_no", F.lit(0)))
     in_section = Window.partitionBy(key, "s_no").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     ls = ls.withColumn("s2", F.last(F.when(F.col("cls") == "subsection", F.col("heading")), ignorenulls=True).over(in_section))
-    head = F.when(F.col("cls") == "section", section_title(F.col("heading"))).when(F.col("is_heading"), F.col("heading")).otherwise(F.left(F.trim("line"), F.lit(200)))
+    head = F.when(F.col("cls") == "section", section_title(F.col("heading"))).when(F.col("is_heading"), F.col("heading")).otherwise(F.left(T.strip("line"), F.lit(200)))
     example_title = (
         F.when(F.col("cls") == "example", F.nullif(F.coalesce(*(F.nullif(_edge_trim(F.regexp_extract("heading", EXAMPLE, g)), F.lit("")) for g in (1, 2, 3, 4))), F.lit("")))
-        .when(F.col("inline") == "example", F.coalesce(F.nullif("inline_title", F.lit("")), F.left(F.trim("line"), F.lit(200))))
+        .when(F.col("inline") == "example", F.coalesce(F.nullif("inline_title", F.lit("")), F.left(T.strip("line"), F.lit(200))))
         .when(F.col("mark") == "solution", "(Solution)")
     )
     # Headings that open a fragment are not part of its text; every other line is.
@@ -161,7 +161,7 @@ def pack_paragraphs(text: Column, target: int = TARGET_CHARS, most: int = MAX_CH
     """array<string>: paragraphs filled up to ``target`` in order; a paragraph over ``most`` is cut at sentences first."""
     wrap = lambda p: F.when(F.length(p) > most, F.split(p, r"(?<=[.!?])\s+", -1)).otherwise(F.array(p))
     hard = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int"))), lambda i: F.substring(p, i * most + 1, F.lit(most)))
-    units = F.flatten(F.transform(F.flatten(F.transform(F.filter(F.split(text, r"\n\s*\n", -1), lambda p: F.trim(p) != ""), wrap)), hard))
+    units = F.flatten(F.transform(F.flatten(F.transform(F.filter(F.split(text, r"\n\s*\n", -1), lambda p: T.strip(p) != ""), wrap)), hard))
     start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("buf"))
 
     def step(a, p):

@@ -29,7 +29,7 @@ def _gram_hashes(keys: Column, n: int) -> Column:
 def long_fields(items: DataFrame, id_cols: list[str], fields: list[str]) -> DataFrame:
     """One row per non-blank text field of an item: id columns, field, text."""
     parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))
-    return items.select(*id_cols, F.explode(parts).alias("x")).select(*id_cols, "x.field", "x.text").where(F.trim("text") != "")
+    return items.select(*id_cols, F.explode(parts).alias("x")).select(*id_cols, "x.field", "x.text").where(T.strip("text") != "")
 
 
 def marked_tokens(items: DataFrame, texts: DataFrame, n: int = 13, item: str = "item_id", doc: str = "doc_id", source: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ def slot_templates(parents: DataFrame, key: str = "parent_index") -> DataFrame:
 
 def missing_answers(parents: DataFrame, key: str = "parent_index") -> DataFrame:
     """Slots without an answer: what loading must reject."""
-    return slot_templates(parents, key).where(F.coalesce(F.trim("answer"), F.lit("")) == "").select(key, "slot_index", "problem_id")
+    return slot_templates(parents, key).where(F.coalesce(T.strip("answer"), F.lit("")) == "").select(key, "slot_index", "problem_id")
 
 
 def key4(df: DataFrame, *columns: str) -> DataFrame:
@@ -45,11 +45,11 @@ def densify(parents: DataFrame, attempts: DataFrame, k: int, n_slots: str = "n_s
 
 def resume(slots: DataFrame, cached: DataFrame, keys: list[str], ordinals: list[str], value: str = "completion") -> DataFrame:
     """Fill empty slots from an earlier run: of a parent's repeats the first counts (ordinals[0]), of later levels the last."""
-    usable = cached.where(F.coalesce(F.trim(value), F.lit("")) != "")
+    usable = cached.where(F.coalesce(T.strip(value), F.lit("")) != "")
     first = Window.partitionBy(*keys).orderBy(ordinals[0], *(F.desc(o) for o in ordinals[1:]))
     one = usable.withColumn("__r", F.row_number().over(first)).where("__r = 1").select(*keys, F.col(value).alias("__old"))
     joined = slots.join(one, keys, "left")
-    empty = F.coalesce(F.trim(value), F.lit("")) == ""
+    empty = F.coalesce(T.strip(value), F.lit("")) == ""
     return joined.withColumn("resumed", empty & F.col("__old").isNotNull()).withColumn(value, F.when(empty, F.col("__old")).otherwise(F.col(value))).drop("__old")
 
 
@@ -85,7 +85,7 @@ def rates_by(results: DataFrame, group: str, passed: str = "any_correct", unknow
 def chat_prefix(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", placeholder: str = "(no answer)") -> DataFrame:
     """For each user turn, all messages before it and itself; assistant answers lose their thinking, empty ones get a placeholder."""
     said = F.when(F.col(role) == "assistant", T.strip_think(text, unclosed=True)).otherwise(F.col(text))
-    said = F.when((F.col(role) == "assistant") & (F.trim(F.coalesce(said, F.lit(""))) == ""), placeholder).otherwise(said)
+    said = F.when((F.col(role) == "assistant") & (T.strip(F.coalesce(said, F.lit(""))) == ""), placeholder).otherwise(said)
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
     message = F.struct(F.col(role).alias("role"), said.alias("content"))
     return turns.withColumn("messages", F.collect_list(message).over(w)).where(F.col(role) == "user").select(conv, turn, "messages")
@@ -143,3 +143,12 @@ def slot_count_drift(slots: DataFrame, key: str = "parent_index") -> DataFrame:
     """Parents whose attempts differ in their number of slots."""
     per = slots.groupBy(key, "attempt_id").agg(F.count("*").alias("n"))
     return per.groupBy(key).agg(F.min("n").alias("least"), F.max("n").alias("most")).where("least <> most")
+
+
+def overall(slots: DataFrame) -> DataFrame:
+    """One row over all slots: parents, those with a right attempt and their rate, the rate of attempts, slots without a verdict."""
+    per = attempt_results(slots)
+    totals = per.agg(F.avg("attempt_correct").alias("attempt_rate"), F.sum("missing_correctness").alias("missing_correctness"))
+    best = per.groupBy("parent").agg(F.max("attempt_correct").alias("any"))
+    parents = best.agg(F.count("*").alias("n_parents"), F.sum("any").alias("n_any"), F.avg("any").alias("parent_rate"))
+    return parents.crossJoin(totals)  # one row each

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 JUDGEABLE = ["NV", "EX", "EQ", "TUP", "IN", "MC", "TF", "QL", "ALT"]
 
 
@@ -54,7 +56,7 @@ def violations(df: DataFrame, key: str, **rules: Column) -> DataFrame:
 
 
 def judgeable(answer: Column, answer_type: Column) -> Column:
-    return (F.trim(F.coalesce(answer, F.lit(""))) != "") & F.upper(F.coalesce(answer_type, F.lit(""))).isin(*JUDGEABLE)
+    return (strip(F.coalesce(answer, F.lit(""))) != "") & F.upper(F.coalesce(answer_type, F.lit(""))).isin(*JUDGEABLE)
 
 
 def text_stats(docs: DataFrame, by: str, text: str = "text") -> DataFrame:

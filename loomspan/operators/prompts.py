@@ -34,8 +34,8 @@ def conversations(slots: DataFrame, language: str = "en", system: str = BASE, pa
 
     Needs stem, problem, guidance (may be null), completion, slot_index.
     """
-    guided = F.when(F.trim(F.coalesce("guidance", F.lit(""))) != "", F.concat(F.lit(f"\n\n[{by_language(GUIDANCE, language)}]\n"), F.trim("guidance"))).otherwise("")
-    first = F.concat_ws("\n\n", F.lit(by_language(INSTRUCTION, language)), F.when(F.trim("stem") != "", F.col("stem")), F.col("problem"))
+    guided = F.when(T.strip(F.coalesce("guidance", F.lit(""))) != "", F.concat(F.lit(f"\n\n[{by_language(GUIDANCE, language)}]\n"), T.strip("guidance"))).otherwise("")
+    first = F.concat_ws("\n\n", F.lit(by_language(INSTRUCTION, language)), F.when(T.strip("stem") != "", F.col("stem")), F.col("problem"))
     asked = F.concat(F.when(F.col("slot_index") == 0, first).otherwise(F.col("problem")), guided)
     said = T.strip_think(F.coalesce("completion", F.lit("")), unclosed=True)
     said = F.when(said == "", by_language(PLACEHOLDER, language)).otherwise(said)
@@ -76,7 +76,7 @@ def answer_types(kind: Column | str, sequence: Column | str) -> Column:
     """What a prompt says of the expected answer types."""
     names = {"NV": "a number", "EX": "an expression", "EQ": "an equation", "IN": "an interval", "MC": "a choice", "TF": "true or false", "QL": "a phrase"}
     listed = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    each = F.transform(F.filter(F.split(F.upper(F.coalesce(T.col(sequence), F.lit(""))), ","), lambda t: F.trim(t) != ""), lambda t: F.coalesce(F.try_element_at(listed, F.trim(t)), F.trim(t)))
+    each = F.transform(F.filter(F.split(F.upper(F.coalesce(T.col(sequence), F.lit(""))), ","), lambda t: T.strip(t) != ""), lambda t: F.coalesce(F.try_element_at(listed, T.strip(t)), T.strip(t)))
     upper = F.upper(F.coalesce(T.col(kind), F.lit("")))
     return F.when(upper == "TUP", F.concat(F.lit("in this order: "), F.array_join(each, ", "))).when(upper == "ALT", F.concat(F.lit("any of: "), F.array_join(each, ", "))).otherwise(
         F.coalesce(F.try_element_at(listed, upper), F.lit("a short result"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.recovery import find_json
+from ..functions.text import strip
 
 QUOTE_FLOOR = 20
 TYPES = ("concept", "law_or_equation", "technique", "assumption")
@@ -109,5 +110,5 @@ def knowledge_points_column(reply: Column | str) -> Column:
 def labelled(points: Column | str) -> Column:
     """True if there are points and each is complete."""
     p = F.col(points) if isinstance(points, str) else points
-    whole = F.forall(p, lambda x: x["type"].isin(*TYPES) & x["source"].isin(*SOURCES) & (F.trim(x["name"]) != "") & (F.trim(x["description"]) != ""))
+    whole = F.forall(p, lambda x: x["type"].isin(*TYPES) & x["source"].isin(*SOURCES) & (strip(x["name"]) != "") & (strip(x["description"]) != ""))
     return F.coalesce((F.size(p) > 0) & whole, F.lit(False))

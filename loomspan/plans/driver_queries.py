@@ -84,11 +84,11 @@ def redacted_docs(spark, sf_dir):
     return decontam.redact(docs, _hits(spark, sf_dir).select("doc_id", "start_tok", "end_tok"))
 
 
-@query("""WITH b AS (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0), i AS (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH b AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND quality = 0), i AS (SELECT DISTINCT source FROM documents)
 SELECT source, 'book' AS missing FROM i WHERE source NOT IN (SELECT source FROM b) UNION ALL SELECT source, 'item' FROM b WHERE source NOT IN (SELECT source FROM i)""")
 def sources_without_partner(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return decontam.uncovered_sources(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 2 = 0"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return decontam.uncovered_sources(docs, docs.join(read(spark, sf_dir, "labels").where("toxic = 1 AND quality = 0"), "doc_id", "left_semi"))
 
 
 # --- cleaning --------------------------------------------------------------------------------
@@ -107,8 +107,8 @@ def page_text_scalars(spark, sf_dir):
 
 @query()
 def clean_counters(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    per = docs.select("source", *T.clean_counters("text"), (T.clean_markdown("text") != F.col("text")).cast("long").alias("changed"))
+    done = T.cleaned(read(spark, sf_dir, "documents").select("source", "text"))
+    per = done.withColumn("changed", (F.col("clean") != F.col("text")).cast("long"))
     names = ["n_leaks", "n_algorithms", "n_math", "n_pages", "n_words", "changed"]
     return per.groupBy("source").agg(F.count("*").alias("n_docs"), *(F.sum(c).alias(c) for c in names))
 
@@ -145,8 +145,7 @@ def exact_dup_groups(spark, sf_dir):
 @query("""SELECT source, lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1""")
 def first_seen_docs(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars")
-    best = docs.groupBy("source", "lang").agg(F.max_by(F.struct("doc_id", "n_chars"), F.struct("n_chars", -F.col("doc_id"))).alias("r"))
-    return best.select("source", "lang", "r.doc_id", "r.n_chars")
+    return inventory.first_seen(docs, ["source", "lang"], [F.desc("n_chars"), "doc_id"])
 
 
 @query("""SELECT coalesce(source, 'TOTAL') AS source, count(*)::BIGINT AS n_docs, sum(octet_length(encode(text)))::BIGINT AS n_bytes, sum(length(text))::BIGINT AS n_chars,
@@ -333,16 +332,16 @@ def coverage_top_matches(spark, sf_dir):
     return coverage.top_matches(_matches(spark, sf_dir)).select("kp_id", "kind", "fragment_id", "score", "rk")
 
 
-@query(_MATCHES + """, b AS (SELECT kp_id, book, max(score) AS s FROM m WHERE score >= 2 GROUP BY ALL)
-SELECT kp_id, max(s) FILTER (book = 'src0') AS src0, max(s) FILTER (book = 'src1') AS src1, max(s) FILTER (book = 'src2') AS src2,
+@query(_MATCHES + ", b AS (SELECT kp_id, book, max(score) AS s FROM m WHERE score >= 2 GROUP BY ALL) SELECT kp_id, "
+       + ", ".join(f"max(s) FILTER (book = 'src{i}') AS src{i}" for i in range(20)) + """,
   count(*) FILTER (s >= 2)::BIGINT AS n_books, count(*) FILTER (s = 3)::BIGINT AS n_books_strong FROM b GROUP BY kp_id""")
 def coverage_matrix(spark, sf_dir):
-    return coverage.matrix(_matches(spark, sf_dir), ["src0", "src1", "src2"])
+    return coverage.matrix(_matches(spark, sf_dir), [f"src{i}" for i in range(20)])
 
 
 _STATUS = """
-WITH k AS (SELECT d.doc_id % 100 AS sub_id, d.lang AS name, CASE WHEN l.doc_id IS NOT NULL THEN (quality = 1 AND toxic = 0)::INTEGER END AS n_strong,
-  CASE WHEN l.doc_id IS NOT NULL THEN (toxic = 0)::INTEGER END AS n_partial, source FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NOT NULL OR d.doc_id % 9 = 0),
+WITH k AS (SELECT d.doc_id // 2 AS sub_id, d.lang AS name, CASE WHEN l.doc_id IS NOT NULL THEN (quality = 1 AND toxic = 0)::INTEGER END AS n_strong,
+  CASE WHEN l.doc_id IS NOT NULL THEN (toxic = 0)::INTEGER END AS n_partial, source FROM documents d LEFT JOIN labels l USING (doc_id)),
 s AS (SELECT sub_id, count(name) AS n_kps, count(*) FILTER (n_strong IS NULL) AS n_unverified, count(*) FILTER (n_strong >= 1) AS n_strong,
   count(*) FILTER (n_strong >= 1 OR n_partial >= 1) AS n_covered FROM k GROUP BY sub_id),
 t AS (SELECT *, CASE WHEN n_kps = 0 THEN 'no_kps' WHEN n_unverified > 0 THEN 'unverified' WHEN n_strong = n_kps THEN 'strongly_covered' WHEN n_covered = n_kps THEN 'covered'
@@ -354,8 +353,8 @@ def _statuses(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("name")), read(spark, sf_dir, "labels")
     strong, partial = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int"), (F.col("toxic") == 0).cast("int")
     marked = labels.select("doc_id", strong.alias("n_strong"), partial.alias("n_partial"))
-    kps = docs.join(marked, "doc_id", "left").where(F.col("n_strong").isNotNull() | (F.col("doc_id") % 9 == 0))
-    return coverage.coverage_status(kps.withColumn("sub_id", F.col("doc_id") % 100))
+    kps = docs.join(marked, "doc_id", "left")
+    return coverage.coverage_status(kps.withColumn("sub_id", F.floor(F.col("doc_id") / 2)))
 
 
 @query(_STATUS + "SELECT sub_id, n_kps::BIGINT AS n_kps, n_unverified::BIGINT AS n_unverified, n_strong::BIGINT AS n_strong, n_covered::BIGINT AS n_covered, coverage_status FROM t")
@@ -379,7 +378,7 @@ def status_by_type(spark, sf_dir):
 
 _ATTEMPTS = """
 WITH a AS (SELECT user_id AS item, event_type IN ('purchase', 'click') AS correct, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS slot FROM events),
-t AS (SELECT * FROM a WHERE slot < 24)
+t AS (SELECT * FROM a)
 """
 _PASS8 = """p AS (SELECT item, count(*) AS n, count(*) FILTER (correct) AS c FROM t GROUP BY item),
 u AS (SELECT item, n, c, CASE WHEN n - c < 8 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - list_product(list_transform(range(0, 8), lambda i: (n - c - i)::DOUBLE / (n - i))) END AS pass_at_k FROM p)"""
@@ -388,8 +387,7 @@ u AS (SELECT item, n, c, CASE WHEN n - c < 8 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE -
 def _attempts(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    numbered = events.select(F.col("user_id").alias("item"), F.col("event_type").isin("purchase", "click").alias("correct"), (F.row_number().over(w) - 1).alias("slot"))
-    return numbered.where("slot < 24")
+    return events.select(F.col("user_id").alias("item"), F.col("event_type").isin("purchase", "click").alias("correct"), (F.row_number().over(w) - 1).alias("slot"))
 
 
 @query(_ATTEMPTS + """SELECT grp, count(*)::BIGINT AS n_items, avg(passed) AS pass_rate, sum(hit)::DOUBLE / sum(n) AS accuracy FROM
@@ -451,12 +449,7 @@ def by_source_rates(spark, sf_dir):
 @query(_SLOTS + """SELECT (SELECT count(*) FROM r)::BIGINT AS n_parents, (SELECT sum(any_correct) FROM r)::BIGINT AS n_any, (SELECT avg(any_correct) FROM r) AS parent_rate,
   avg(ok) AS attempt_rate, sum(missing)::BIGINT AS missing_correctness FROM a""")
 def overall_metrics(spark, sf_dir):
-    slots = _slots(spark, sf_dir)
-    per = evalrun.attempt_results(slots)
-    a = per.agg(F.avg("attempt_correct").alias("attempt_rate"), F.sum("missing_correctness").alias("missing_correctness"))
-    r = per.groupBy("parent").agg(F.max("attempt_correct").alias("any"))
-    p = r.agg(F.count("*").alias("n_parents"), F.sum("any").alias("n_any"), F.avg("any").alias("parent_rate"))
-    return p.crossJoin(a)  # one row each
+    return evalrun.overall(_slots(spark, sf_dir))
 
 
 _RESUME = """
@@ -501,19 +494,35 @@ def match_forms(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.distinctive_numbers("text"), "|").alias("numbers"), T.match_form("text").alias("form"))
 
 
-@query("""WITH p AS (SELECT b.item_id, d.doc_id, d.text AS guidance, regexp_replace(lower(b.text), '[^a-z0-9.+\\-=/^]', '', 'g') AS gold FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)
-SELECT item_id, doc_id, contains(regexp_replace(lower(guidance), '[^a-z0-9.+\\-=/^]', '', 'g'), gold) AND length(gold) >= 8 AS leaks FROM p""")
+_HINTS = ["", " My Final Answer stands.", " \\boxed{7}", " <|end|>", " The values are not given here."]
+
+
+@query("""WITH f AS (SELECT conv_id, arg_min(text, turn) AS answer FROM conversations GROUP BY conv_id),
+p AS (SELECT c.conv_id, c.turn, c.text || CASE c.turn % 5 WHEN 1 THEN ' My Final Answer stands.' WHEN 2 THEN ' \\boxed{7}' WHEN 3 THEN ' <|end|>' WHEN 4 THEN ' The values are not given here.' ELSE '' END AS g, f.answer
+  FROM conversations c JOIN f USING (conv_id)),
+m AS (SELECT *, regexp_replace(lower(g), '[^a-z0-9.+\\-=/^]', '', 'g') AS form, regexp_replace(lower(answer), '[^a-z0-9.+\\-=/^]', '', 'g') AS gold FROM p)
+SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN contains(g, '\\boxed') THEN 'contains-boxed' END, CASE WHEN contains(lower(g), 'final answer') THEN 'contains-final-answer-phrase' END,
+  CASE WHEN regexp_matches(g, '(?i)(?:no numerical computation is possible|(?:data|parameters?|information|values?).{0,45}not (?:given|provided|present)|(?:remaining steps|details).{0,80}(?:omitted|not present))')
+    THEN 'contains-missing-data-claim' END,
+  CASE WHEN length(gold) >= 8 AND contains(form, gold) THEN 'contains-normalized-gold' END, CASE WHEN regexp_matches(g, '<\\|[^|>]+\\|>') THEN 'contains-special-token' END], lambda x: x IS NOT NULL), '|') AS reasons FROM m""")
 def leak_reasons(spark, sf_dir):
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("guidance"), (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(items, "item_id").select("item_id", "doc_id", F.array_contains(T.leak_reasons("guidance", "answer"), "contains-normalized-gold").alias("leaks"))
+    """Each turn as a guidance, with a hint of each kind by turn, against the first text of its conversation as the answer."""
+    turns = read(spark, sf_dir, "conversations")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"))
+    said = F.concat("text", F.element_at(F.array(*map(F.lit, _HINTS)), (F.col("turn") % 5 + 1).cast("int")))
+    told = turns.select("conv_id", "turn", said.alias("guidance")).join(first, "conv_id")
+    return told.select("conv_id", "turn", F.array_join(T.leak_reasons("guidance", "answer"), "|").alias("reasons"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, len(props) AS n FROM events""")
 def json_recover(spark, sf_dir):
     from ..functions.recovery import recover_json
 
-    events = read(spark, sf_dir, "events").select("event_id", "props", F.concat(F.lit("Sure.\n```json\n"), F.col("props"), F.lit("\n```\ndone")).alias("reply"))
+    fenced = F.concat(F.lit("Sure.\n```json\n"), F.col("props"), F.lit("\n```\ndone"))
+    bare = F.concat(F.lit("It is {not json} but "), F.col("props"), F.lit(", or so."))
+    broken = F.concat(F.lit("```json\n[1, 2\n```\nthen "), F.col("props"))
+    reply = F.when(F.col("event_id") % 3 == 0, fenced).when(F.col("event_id") % 3 == 1, bare).otherwise(broken)
+    events = read(spark, sf_dir, "events").select("event_id", "props", reply.alias("reply"))
     found = events.withColumn("json", recover_json("reply"))
     return found.select("event_id", F.get_json_object("json", "$.k").alias("k"), F.length("props").cast("long").alias("n"))
 
@@ -545,7 +554,50 @@ def fragments_stats(spark, sf_dir):
     return made.groupBy("book").agg(F.count("*").alias("n_fragments"), F.count_if(F.col("kind") == "example").alias("n_examples"), F.sum("n_chars").alias("n_chars"))
 
 
-@query()
+#: id, answer, gold, type, type sequence, and whether they are the same; worked out by hand.
+JUDGED = [
+    (1, r"\boxed{B}", r"\boxed{B}", "MC", "", True),
+    (2, r"\boxed{B: energy}", r"\boxed{B}", "MC", "", True),
+    (3, r"\boxed{C}", r"\boxed{B}", "MC", "", False),
+    (4, r"\boxed{yes}", r"\boxed{TRUE}", "TF", "", True),
+    (5, r"\boxed{No}", r"\boxed{TRUE}", "TF", "", False),
+    (6, r"\boxed{Conservation of energy}", r"\boxed{conservation of ENERGY}", "QL", "", True),
+    (7, r"\boxed{momentum}", r"\boxed{energy}", "QL", "", False),
+    (8, r"\boxed{9.9}", r"\boxed{9.81}", "NV", "", True),
+    (9, r"\boxed{12}", r"\boxed{9.81}", "NV", "", False),
+    (10, r"\boxed{\frac{1}{2}}", r"\boxed{0.5}", "NV", "", True),
+    (11, r"\boxed{4.39\times10^3}", r"\boxed{4390}", "NV", "", True),
+    (12, r"\boxed{2(x+1)}", r"\boxed{2x+2}", "EX", "", True),
+    (13, r"\boxed{2x+3}", r"\boxed{2x+2}", "EX", "", False),
+    (14, r"\boxed{\sin^2 x+\cos^2 x}", r"\boxed{1}", "EX", "", False),
+    (15, r"\boxed{2x+2y=2}", r"\boxed{x+y=1}", "EQ", "", True),
+    (16, r"\boxed{x+y=2}", r"\boxed{x+y=1}", "EQ", "", False),
+    (17, r"\boxed{(1,2]}", r"\boxed{(1,2]}", "IN", "", True),
+    (18, r"\boxed{(1,2)}", r"\boxed{(1,2]}", "IN", "", False),
+    (19, r"\boxed{2/2},\boxed{x+x}", r"\boxed{1},\boxed{2x}", "TUP", "NV,EX", True),
+    (20, r"\boxed{x+x},\boxed{1}", r"\boxed{1},\boxed{2x}", "TUP", "NV,EX", False),
+    (21, r"\boxed{1}", r"\boxed{1},\boxed{2x}", "TUP", "NV,EX", False),
+    (22, r"\boxed{3}", r"\boxed{2},\boxed{3}", "ALT", "NV,NV", True),
+    (23, r"\boxed{4}", r"\boxed{2},\boxed{3}", "ALT", "NV,NV", False),
+    (24, r"\boxed{2},\boxed{1}", r"\boxed{1},\boxed{2}", "NV", "", True),
+    (25, r"\boxed{\pm 3}", r"\boxed{\pm 3}", "NV", "", True),
+    (26, "no box at all", r"\boxed{3}", "NV", "", False),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {ok}, {ok and 1.0 or 0.0}::DOUBLE)" for i, *_, ok in JUDGED) + ") AS t(id, correct, reward)")
+def judge_types(spark, sf_dir):
+    """All types of answers, judged and rewarded."""
+    from ..functions import answers
+
+    asked = spark.createDataFrame([r[:5] for r in JUDGED], "id int, pred string, gold string, kind string, types string")
+    ok = answers.judge_column(F.col("pred"), F.col("gold"), F.col("kind"), F.col("types"), 1e-2)
+    return asked.select("id", ok.alias("correct"), answers.judge_column(F.col("pred"), F.col("gold"), F.col("kind"), F.col("types"), 1e-2, "reward").cast("double").alias("reward"))
+
+
+@query("""WITH l AS (SELECT l_linenumber % 5 AS kind, l_quantity::BIGINT % 2 = 0 AS same, l_extendedprice FROM lineitem)
+SELECT ['NV', 'EX', 'TF', 'QL', 'MC'][kind + 1] AS kind, count(*)::BIGINT AS n,
+  count(*) FILTER (same OR kind < 2 AND l_extendedprice > 0 AND round(0.001 / l_extendedprice, 6) <= 0.01)::BIGINT AS n_correct FROM l GROUP BY kind""")
 def answer_judge(spark, sf_dir):
     from ..functions import answers
 
@@ -558,25 +610,27 @@ def answer_judge(spark, sf_dir):
     return judged.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
 
 
-@query()
+@query("""SELECT item_id, replace(regexp_replace(text, '[^A-Za-z0-9 ]+', '', 'g'), ' ', '') || '|1|2' AS answers FROM benchmark""")
 def boxed_answers(spark, sf_dir):
     from ..functions import answers
 
     items = read(spark, sf_dir, "benchmark")
-    boxed = F.concat(F.col("text"), F.lit(" \\boxed{"), F.left("text", F.lit(20)), F.lit("}, \\boxed{1,2}"))
+    boxed = F.concat(F.col("text"), F.lit(" \\boxed{"), F.regexp_replace("text", r"[^A-Za-z0-9 ]+", ""), F.lit("}, \\boxed{1,2}"))
     return items.select("item_id", F.array_join(answers.extracted_column(boxed), "|").alias("answers"))
 
 
-@query()
+@query("""SELECT item_id, true AS own, false AS other FROM benchmark""")
 def quote_checks(spark, sf_dir):
+    """Every item holds itself as a quote, and not itself with words that it lacks."""
     from ..operators import verify
 
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(80)).alias("quote"), "text")
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), "text")
     return items.select("item_id", verify.quote_verified(F.col("quote"), F.col("text")).alias("own"), verify.quote_verified(F.concat("quote", F.lit(" qqqqqqqqqqqqqqqqqqqqqqqq")), F.col("text")).alias("other"))
 
 
-@query("""WITH g AS (SELECT o_custkey AS c, count(*) FILTER (o_orderstatus = 'F') AS g FROM orders GROUP BY 1), s AS (SELECT c_custkey, c_mktsegment, length(c_name) AS n, coalesce(g, 0) AS g FROM customer LEFT JOIN g ON c = c_custkey)
-SELECT c_custkey, CASE WHEN g BETWEEN 1 AND 7 THEN 'near_miss' WHEN g = 0 THEN 'zero_short_solution' END AS tier, g::BIGINT AS guided_correct FROM s WHERE g <= 7""")
+@query("""WITH g AS (SELECT o_custkey AS c, count(*) FILTER (o_orderstatus = 'F') AS g FROM orders GROUP BY 1), s AS (SELECT c_custkey, length(c_name) AS n, coalesce(g, 0) AS g FROM customer LEFT JOIN g ON c = c_custkey),
+t AS (SELECT *, CASE WHEN g BETWEEN 1 AND 7 THEN 'near_miss' ELSE 'zero_short_solution' END AS tier FROM s WHERE g <= 7)
+SELECT c_custkey, tier, g::BIGINT AS guided_correct FROM t ORDER BY tier = 'near_miss' DESC, g DESC, n, c_custkey LIMIT 100""")
 def target_selection(spark, sf_dir):
     from ..operators import guidance
 
@@ -585,7 +639,7 @@ def target_selection(spark, sf_dir):
     right = guidance.correct_counts(slots, "guided_correct", ["c_custkey"])
     subs = customers.select("c_custkey", F.lit("NV").alias("answer_type"), F.col("c_name").alias("solution"), F.lit(None).cast("string").alias("old_guidance"))
     base = right.select("c_custkey", F.col("guided_correct").alias("base_correct"))
-    return guidance.select_targets(subs, right, base, 2_000_000_000, ["c_custkey"]).select("c_custkey", "tier", "guided_correct")
+    return guidance.select_targets(subs, right, base, 100, ["c_custkey"]).select("c_custkey", "tier", "guided_correct")
 
 
 @query(_MATCHES + """, b AS (SELECT kp_id, book, max(score) AS s FROM m WHERE score >= 2 GROUP BY ALL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..functions import text as T
+from ..storage import materialize
 
 
 class Client(Protocol):
@@ -101,7 +103,13 @@ def adapt_options(options: dict, message: str) -> dict | None:
 
 
 def complete(df: DataFrame, client: Callable[[], Client], messages: str = "messages", per_minute: int | None = None, tasks: int = 1, retries: int = 3, **options) -> DataFrame:
-    """Add reply and error. ``client`` is made once a task; ``per_minute`` is the job's budget over ``tasks`` tasks."""
+    """Add reply and error. ``client`` is made once a task.
+
+    ``per_minute`` is the job's budget: rows are dealt to ``tasks`` tasks, at most one a call of the budget, and each has its share.
+    """
+    if per_minute:
+        tasks = max(1, min(tasks, per_minute))
+        df = df.repartition(tasks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = client()
@@ -123,7 +131,7 @@ JUDGE_PROMPT = "Decide whether two answers say the same.\nProblem:\n{{problem}}\
 
 def judge_with_fallback(df: DataFrame, client: Callable[[], Client], prompt: str = JUDGE_PROMPT, precision: float = 1e-8) -> DataFrame:
     """Rule judge first; only rows it refuses are asked of the model. Needs problem, pred, gold, answer_type, type_sequence."""
-    ruled = df.withColumn("rule", answers.judge_column("pred", "gold", "answer_type", "type_sequence", precision))
+    ruled = materialize(df.withColumn("rule", answers.judge_column("pred", "gold", "answer_type", "type_sequence", precision)), "ruled")  # judged once
     good = ruled.where("rule").select("*", F.lit(True).alias("correctness"), F.lit(None).cast("string").alias("model_judge_msg"))
     text = F.lit(prompt)
     for name in ("problem", "gold", "pred"):
@@ -135,6 +143,21 @@ def judge_with_fallback(df: DataFrame, client: Callable[[], Client], prompt: str
     return good.unionByName(bad)
 
 
+def leaks(guidance: str, answer: str | None) -> list[str]:
+    """:func:`text.leak_reasons` of one text, in plain Python, for the gate inside a task."""
+    form = lambda t: re.sub(r"[^a-z0-9.+\-=/^]", "", re.sub(r"\\(?:left|right|,|;|!|quad|cdot|times)", "", re.sub(r"\\(?:text|mathrm|operatorname)\s*\{([^{}]*)\}", r"\1", t.lower())))
+    bodies = re.findall(T.BOX, answer or "") or [answer or ""]
+    here = form(guidance)
+    found = {
+        "contains-final-answer-phrase": "final answer" in guidance.lower(),
+        "contains-boxed": "\\boxed" in guidance,
+        "contains-special-token": re.search(T.SPECIAL_TOKEN, guidance),
+        "contains-normalized-gold": any(len(f) >= 8 and f in here for f in map(form, bodies)),
+        "contains-missing-data-claim": re.search(T.MISSING_DATA, guidance),
+    }
+    return sorted(k for k, v in found.items() if v)
+
+
 def gated_guidance(df: DataFrame, client: Callable[[], Client], review: Callable[[], Client], tries: int = 3, max_chars: int = 4000) -> DataFrame:
     """Generate, pass the rule gate and the reviewer, at most ``tries`` times; else the last text sanitised, passed if nothing leaks.
 
@@ -149,7 +172,7 @@ def gated_guidance(df: DataFrame, client: Callable[[], Client], review: Callable
                 said, text, done = [dict(m) for m in messages], "", False
                 for n in range(1, tries + 1):
                     text, error = call(writer, said)
-                    leak = not text or "\\boxed" in text or "final answer" in text.lower()
+                    leak = not text or bool(leaks(text, answer))
                     if not error and not leak:
                         verdict, _ = call(reader, [{"role": "user", "content": f"{text}\n---\n{answer}"}])
                         if "PASS" in verdict.upper() and "FAIL" not in verdict.upper():

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..functions.text import strip
+
 # The configurations of the published dataset.
 CONFIGS = ("apho", "eupho", "ioaa", "ipho", "nbpho", "opho", "textbook_astro", "textbook_physics")
 
@@ -35,7 +37,7 @@ def read_many(spark: SparkSession, paths: list[str], schema: StructType) -> Data
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """One record per line; blank lines are no records."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(strip("value") != "")
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
@@ -116,7 +118,7 @@ def prompt_history(spark: SparkSession, path: str) -> DataFrame:
     schema = "struct<iteration:int,rollouts:int,score:double,system_prompt:string>"
     whole = spark.read.text(path, wholetext=True)
     one = F.from_json("value", schema)
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split("value", "\n"), lambda x: strip(x) != "")
     rows = F.filter(F.transform(lines, lambda x: F.from_json(x, schema)), lambda r: r["system_prompt"].isNotNull())
     plain = F.array(F.struct(F.lit(None).cast("int").alias("iteration"), F.lit(None).cast("int").alias("rollouts"), F.lit(None).cast("double").alias("score"), F.regexp_replace("value", r"^\s+|\s+\z", "").alias("system_prompt")))
     chosen = F.when(F.size(rows) > 0, rows).when(one["system_prompt"].isNotNull(), F.array(one)).otherwise(plain)

@@ -40,8 +40,10 @@ def append_cache(df: DataFrame, path: str, seq: int) -> None:
 
 
 def table_text(df: DataFrame, title: str | None = None, most: int = 1000) -> str:
-    """A report table as Markdown; ``most`` bounds what reaches the driver."""
-    rows = [[("-" if v is None else f"{v:.1f}" if isinstance(v, float) and v == v else "n/a" if isinstance(v, float) else str(v)) for v in r] for r in df.limit(most).collect()]
+    """A report table as Markdown. More than ``most`` rows are no report: an error, before they reach the driver."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a report of more than {most} rows")
+    rows = [[("-" if v is None else f"{v:.1f}" if isinstance(v, float) and v == v else "n/a" if isinstance(v, float) else str(v)) for v in r] for r in df.collect()]
     heads = df.columns
     width = [max(len(h), *(len(r[i]) for r in rows)) if rows else len(h) for i, h in enumerate(heads)]
     line = lambda cells: "| " + " | ".join(c.ljust(w) for c, w in zip(cells, width)) + " |"

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,57 @@ def test_coverage_job(spark, tmp_path):
     assert rows(made["covered"], "sub_id", "coverage_status") == [("s1", "strongly_covered"), ("s2", "strongly_covered"), ("s3", "no_kps")]
 
 
+def test_coverage_job_asks_once_and_uses_both_channels(spark, tmp_path):
+    """Calls are counted in files: a second run makes none; a match that no word finds comes from the dense channel."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    chapters = spark.createDataFrame([("c", "b", "ch", "# 1.1 Force\n\nKraft ist Masse mal Beschleunigung in allen Systemen der Mechanik hier.\n"),
+                                      ("o", "w", "o", "# 1.2 Other\n\nPlain words about nothing in particular here at all, really.\n")], "path string, book string, chapter string, text string")
+    subs = spark.createDataFrame([("s1", "A ball", "use it", "mech")], "sub_id string, problem string, solution string, domain string")
+    domains = spark.createDataFrame([("b", "mech"), ("w", "optics")], "book string, domain string")
+
+    def counting(reply):
+        def said(messages):
+            (calls / str(time.time_ns())).touch()
+            return reply
+
+        return said
+
+    points = '{"knowledge_points": [{"type": "concept", "name": "newton", "description": "second", "keywords": ["zzz"]}]}'
+    matches = '{"matches": [{"index": 1, "score": 3, "quote": "Masse mal Beschleunigung in allen Systemen"}]}'
+
+    def embed():
+        def run(texts):
+            (calls / str(time.time_ns())).touch()
+            return [[1.0, 0.0] if "newton" in t or "kraft" in t.lower() else [0.0, 1.0] for t in texts]
+
+        return run
+
+    for dense in (embed, None):
+        root = str(tmp_path / str(dense is None))
+        job = jobs.coverage_job(spark, root, chapters, subs, lambda: clients.StubClient(counting(points)), lambda: clients.StubClient(counting(matches)), dense, domains)
+        made = job.run()
+        assert rows(made["covered"], "coverage_status") == ([("strongly_covered",)] if dense else [("unverified",)])
+        if dense:
+            found = {r["book"]: (r["in_domain"], r["rank"]) for r in made["candidates"].collect()}
+            assert found["b"] == (True, 1) and found["w"] == (False, 2)
+            before = len(list(calls.iterdir()))
+            assert before >= 3 and rows(job.run()["covered"], "coverage_status") == [("strongly_covered",)]
+            assert len(list(calls.iterdir())) == before
+
+
+def test_budget_holds_over_tasks(spark):
+    df = spark.range(20).withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), F.lit("q").alias("content")))).repartition(8)
+    out = clients.complete(df, lambda: clients.StubClient(lambda m: "x"), per_minute=40, tasks=3)
+    assert out.rdd.getNumPartitions() == 3 and out.where("reply = 'x'").count() == 20
+
+
+def test_reports_are_whole(spark):
+    assert sinks.table_text(spark.range(3)).count("\n") == 5
+    with pytest.raises(ValueError):
+        sinks.table_text(spark.range(3), most=2)
+
+
 def test_corpus_job(spark, tmp_path):
     p = tmp_path / "in" / "bookA" / "full.md"
     p.parent.mkdir(parents=True)
