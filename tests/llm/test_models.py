@@ -132,7 +132,10 @@ def test_dropout_varies_and_is_lossless():
 def slow_encode(bpe, text):
     """Merge-dropout by the book: every pair of every unit is looked at, and each candidate has its own hash."""
     key, out, number = xxhash.xxh64_intdigest(text.encode(), bpe.seed), [], 0
-    for unit in bpe.units.findall("\u2581" + text.replace(" ", "\u2581")):
+    whole = "\u2581" + text.replace(" ", "\u2581")
+    beside = {p[k : k + 2] for p in bpe.id_of for k in range(len(p) - 1)}
+    starts = [i for i in range(len(whole)) if not i or whole[i] == "\u2581" != whole[i - 1] or whole[i - 1 : i + 1] not in beside]
+    for unit in (whole[a:b] for a, b in zip(starts, [*starts[1:], None])):
         parts, dead, pop = list(unit), set(), 0
         places = list(range(len(parts)))
         while True:
@@ -163,13 +166,27 @@ def test_dropout_is_drawn_for_each_candidate(dropout):
 
 def test_occurrences_are_segmented_afresh():
     bpe = sentencepiece_dropout.DropoutBpe(sentencepiece_dropout.model_path(), 0.2)
-    bpe.encode("internationalization " * 400)
-    assert len({bpe.outcomes.ids[n] for n in range(len(bpe.outcomes.ids)) if bpe.outcomes.made_of[n][0] == "\u2581internationalization"}) > 20
+    bpe.encode("internationals " * 400)
+    assert len({i for i, u in zip(bpe.ids, bpe.unit_of) if u == "\u2581internationals"}) > 20
+
+
+def test_lockstep_is_the_heap():
+    bpe = sentencepiece_dropout.DropoutBpe(sentencepiece_dropout.model_path())
     rng = np.random.default_rng(3)
-    for unit in ("\u2581internationalization", "aabababababbbab", "\u2581" * 9 + "the"):
-        for _ in range(50):
-            skips = set(np.flatnonzero(rng.random(80) < 0.3).tolist())
-            assert bpe._scan(unit, skips.__contains__) == bpe._agenda(unit, skips.__contains__)
+    units = ["\u2581internationally", "aabababababbbab", "\u2581" * 9 + "the", "\u2581", "é½日本xthe", "\u2581" + "ab" * 9] * 60
+    skips = [set(np.flatnonzero(rng.random(60) < 0.3).tolist()) for _ in units]
+    ids, pops = bpe.merge(units, np.array([sum(1 << k for k in s) for s in skips], dtype=np.uint64))
+    for unit, s, got, n in zip(units, skips, ids, pops):
+        parts, want = bpe.segment(unit, s.__contains__)
+        assert got == bpe._as_ids(parts) and n == want
+
+
+def test_slices_do_not_matter(monkeypatch):
+    texts = ["some words here and there, again. " * 40, "  two  runs \u2581 of   marks ", "x"] * 3
+    whole = sentencepiece_dropout.DropoutBpe(sentencepiece_dropout.model_path(), 0.3).encode_all(texts)
+    monkeypatch.setattr(sentencepiece_dropout, "SLICE", 7)
+    monkeypatch.setattr(sentencepiece_dropout, "MOST", 50)
+    assert sentencepiece_dropout.DropoutBpe(sentencepiece_dropout.model_path(), 0.3).encode_all(texts) == whole
 
 
 @pytest.mark.parametrize("text", ["a\u2581b", "\u2581", "\u2581\u2581 x \u2581", " \u2581"])
