@@ -4,8 +4,9 @@ Two interpolated Kneser-Ney models over the characters of words share one
 lower-order model: absolute-discounted counts of a class at the highest order
 back off to continuation counts pooled over both classes. What only the shared
 counts know cancels between the classes, so rare expressions are neutral unless
-a class has seen their beginning. A document is scored by its log-likelihood
-ratio, normalised by length, through a logistic calibration.
+a class has seen their beginning. A document is scored by its log-likelihood ratios,
+normalised by length, through a logistic calibration: of the whole text, of the toxic-most
+expression of 2, 4, 8 and 16 words each, and of the words that speak clearly for toxic.
 
 * Counts come from all labelled rows that may be learned (crc32(doc_id) mod 5 in 1, 2,
   3), so what is gathered grows with the input; the calibration is fitted on a bounded
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import WordCache, fold, held_out, map_rows, materialize, pick
 
 ORDER = 5
+WINDOWS = (2, 4, 8, 16)
+N_FEATURES = 4 + len(WINDOWS)
 DISCOUNT = 0.75
 _EDGES = " .,;:!?'\"()[]{}-"
 
@@ -178,7 +181,7 @@ class ToxicityModel:
         self._hold(*(Ratios(hashed(x), np.array(list(x.values()), dtype=np.float64)) for x in (gram, context)))
 
     def _hold(self, gram: Ratios, context: Ratios) -> None:
-        self.gram, self.context, self.calibration = gram, context, np.zeros(4)
+        self.gram, self.context, self.calibration = gram, context, np.zeros(N_FEATURES)
 
     @classmethod
     def gathered(cls, counts: DataFrame) -> ToxicityModel:
@@ -206,14 +209,16 @@ class ToxicityModel:
         return WordCache(lambda raw: self.ratio(raw, grams.__getitem__), 300_000)
 
     def features(self, text: str | None, cache: WordCache) -> np.ndarray:
-        """Length-normalised ratios: by words, by the root of words, and of the words that speak for toxic."""
+        """Length-normalised ratios: by words, by the root of words, of the words that speak for toxic, and of the best expression of each length."""
         words = (text or "").encode().split()
         if not words:
-            return np.array([1.0, 0.0, 0.0, 0.0])
+            return np.eye(1, N_FEATURES)[0]
         r = np.fromiter(map(cache.__getitem__, words), dtype=np.float64, count=len(words))
         n = len(words)
         strong = np.clip(r - 2.0, 0, 6).sum()
-        return np.array([1.0, np.clip(10 * r.mean(), -5, 5), np.clip(r.sum() / math.sqrt(n), -10, 10), min(strong / math.sqrt(n) * 4, 10.0)])
+        sums = np.append(0.0, np.cumsum(r))
+        best = [np.clip((sums[k:] - sums[:-k]).max() / k if n > k else sums[-1] / n, -5, 8) for k in WINDOWS]
+        return np.array([1.0, np.clip(10 * sums[-1] / n, -5, 5), np.clip(sums[-1] / math.sqrt(n), -10, 10), min(strong / math.sqrt(n) * 4, 10.0), *best])
 
     def score(self, features: np.ndarray) -> float:
         return 1 / (1 + math.exp(-float(np.clip(features @ self.calibration, -30, 30))))

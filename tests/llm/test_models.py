@@ -262,6 +262,52 @@ def test_shared_backoff_is_neutral():
     assert model.ratio(b"scum") > 1 > -1 > model.ratio(b"good") and abs(model.ratio("日本".encode())) < 1
 
 
+def brute_kneser_ney(texts, labels, word):
+    """log P(toxic) - log P(ordinary) of a word, from the definitions: counts of a class above, distinct left neighbours below."""
+    d, order = 0.75, 5
+    counts = [{}, {}]
+    for text, label in zip(texts, labels):
+        for w in text.split():
+            w = "^" + w.lower().strip(" .,;:!?'\"()[]{}-") + "$"
+            for i in range(1, len(w)):
+                g = w[max(0, i - order + 1) : i + 1]
+                counts[label][g] = counts[label].get(g, 0) + 1
+    seen = {g[k:] for c in counts for g in c for k in range(len(g))}
+    size = len({g[-1] for g in seen}) + 1
+
+    def below(s):
+        if not s:
+            return 1 / size
+        left = lambda t: sum(len(x) == len(t) + 1 and x.endswith(t) for x in seen)
+        ends = {x[-1] for x in seen if len(x) == len(s) + 1 and x[1:-1] == s[:-1]}
+        total = sum(left(s[:-1] + e) for e in ends)
+        return (max(left(s) - d, 0) + d * len(ends) * below(s[1:])) / total if total else below(s[1:])
+
+    def likelihood(c, g):
+        total = sum(n for x, n in c.items() if x[:-1] == g[:-1])
+        kinds = sum(x[:-1] == g[:-1] for x in c)
+        return (max(c.get(g, 0) - d, 0) + d * kinds * below(g[1:])) / total if total else below(g[1:])
+
+    w = "^" + word + "$"
+    grams = [w[max(0, i - order + 1) : i + 1] for i in range(1, len(w))]
+    return sum(np.log(likelihood(counts[1], g)) - np.log(likelihood(counts[0], g)) for g in grams)
+
+
+def test_toxicity_is_kneser_ney(spark):
+    texts = ["good words are good, and the day is goodly", "scum of the scummy sort! scums", "the word scones is goods", "a scar"]
+    labels = [0, 1, 0, 1]
+    counts = toxicity.gram_counts(spark.createDataFrame(list(zip(texts, labels)), "text string, label int"))
+    model = toxicity.ToxicityModel.gathered(counts)
+    for word in ["good", "scum", "scums", "scones", "the", "goody", "a", "scarf", "xyz", "words"]:
+        assert abs(model.ratio(word.encode()) - brute_kneser_ney(texts, labels, word)) < 1e-9, word
+
+
+def test_expressions_of_several_words_count():
+    model = toxicity.ToxicityModel({g: (50, 0) for g in toxicity.top_grams("^good$")} | {g: (0, 50) for g in toxicity.top_grams("^scum$")})
+    near, far = (model.features(t, model.words()) for t in ("good good good scum scum good good good", "scum good good good good good good scum"))
+    assert near[4] > far[4] and np.allclose(near[:4], far[:4]) and len(near) == toxicity.N_FEATURES
+
+
 def test_toxicity_keeps_every_gram(spark):
     """No rare gram is dropped, and the table says what a plain reading of all counts says."""
     counts = {f"{a}{b}{c}": (1 + (a + b + c in "aceg"), int(c == "b")) for a in map(chr, range(0x4E00, 0x4E00 + 50)) for b in map(chr, range(0x5E00, 0x5E00 + 50)) for c in "b"}
