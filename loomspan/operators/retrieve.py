@@ -13,6 +13,8 @@ from ..storage import materialize
 
 RRF_K = 60
 OUT_OF_DOMAIN = 0.6
+#: Postings of a term that stay under one key of the scoring join.
+POSTINGS = 1_000_000
 
 
 def split_terms(text: Column) -> Column:
@@ -39,8 +41,14 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str =
     asked = queries.select(query, F.explode(qt).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
     weights = asked.join(raw, "term").crossJoin(F.broadcast(floor))
     weights = weights.withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))
-    weights = materialize(weights, "query-weights").select(query, "term", "qf", "idf", "avgdl")
-    hit = post.join(weights, "term")
+    raw_df = materialize(weights, "query-weights")
+    weights = raw_df.select(query, "term", "qf", "idf", "avgdl")
+    # A term that is in very many documents is several keys, so that no task has all of its postings.
+    salts = max(1, -(-(raw_df.agg(F.max("df")).first()[0] or 0) // POSTINGS))
+    if salts > 1:
+        post = post.withColumn("__salt", F.pmod(F.xxhash64(doc), F.lit(salts)))
+        weights = weights.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    hit = post.join(weights, ["term", "__salt"] if salts > 1 else "term")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy(query, doc).agg(F.sum(part).alias("score")).where("score > 0")
 

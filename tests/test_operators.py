@@ -286,3 +286,24 @@ def test_blocks_and_extremes(spark):
     assert out["z"]["top_exposition"] == [] and out["z"]["verifier_error"] == coverage.NOT_VERIFIED
     scored = e.join(coverage.score_counts(m), "kp_id", "left")
     assert rows(coverage.extremes(scored, True, 5), "kp_id") == [("k",)] and rows(coverage.extremes(scored, False, 5), "kp_id") == [("z",)]
+
+
+def test_hot_terms_are_split(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the " + " ".join(f"w{(i * k) % 7}" for k in range(5))) for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "the w1 w2"), (2, "w3 the the")], "item_id long, text string")
+    scores = lambda: sorted((r["item_id"], r["doc_id"], round(r["score"], 9)) for r in retrieve.bm25(docs, asked).collect())
+    plain = scores()
+    monkeypatch.setattr(retrieve, "POSTINGS", 10)
+    assert scores() == plain
+
+
+def test_scratch_goes(spark):
+    import os
+
+    from loomspan import storage
+
+    with storage.temporary():
+        made = storage.materialize(spark.range(3), "x")
+        at = made.scratch.removeprefix("file:")
+        assert os.path.isdir(at) and made.count() == 3
+    assert not os.path.isdir(at) and spark.sparkContext.applicationId in at
