@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialize, scratch_dir, scratch_path
+from ..storage import discard, materialize, scratch_dir, scratch_path, temporary
 
-__all__ = ["discard", "materialize", "scratch_dir", "scratch_path"]
+__all__ = ["discard", "materialize", "scratch_dir", "scratch_path", "temporary"]
 
 #: White space of every word and line rule here, as a Java and RE2 character class.
 SPACE = r"\x20\x09-\x0D"

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, fold, held_out, map_rows, materialize, pick
+from .common import WordCache, fold, held_out, map_rows, materialize, pick, temporary
 
 ORDER = 5
 WINDOWS = (2, 4, 8, 16)
@@ -241,9 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, max_calibration: int = 2000) -> To
     clean = rows.groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("__high")).where("label = __high").select("doc_id", "label")
     texts = pick(docs, "doc_id", "text")
     # Labels grow with the documents, so both sides are dealt by id at every size.
-    counts = materialize(gram_counts(texts.hint("merge").join(clean.where(fold(F.col("doc_id")) != 4), "doc_id")), "toxic-grams")
+    with temporary():  # the model holds what it needs of these tables
+        counts = materialize(gram_counts(texts.hint("merge").join(clean.where(fold(F.col("doc_id")) != 4), "doc_id")), "toxic-grams")
+        model = ToxicityModel.gathered(counts)
     parts = [clean.where((fold(F.col("doc_id")) == 4) & (F.col("label") == v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration) for v in (0, 1)]
-    model = ToxicityModel.gathered(counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
