@@ -18,6 +18,8 @@ def valid_records(df: DataFrame, kind: str = "type", name: str = "name", types:
 def canonical(records: DataFrame, kind: str = "type", name: str = "name", sub: str = "sub_id", position: str = "position", hint: str = "domain") -> DataFrame:
     """One row per cluster: id, canonical name (most frequent; then shortest, then alphabetic), aliases, counts, histogram, subs in order.
 
+    Rows come in no order; :func:`by_frequency` sorts them where an order is asked for.
+
     Two-stage: spellings are counted first, so a frequent entity is one row per
     spelling before it is gathered.
     """
@@ -36,7 +38,12 @@ def canonical(records: DataFrame, kind: str = "type", name: str = "name", sub: s
     return joined.select(
         T.entity_id("type", "norm").alias("kp_id"), "type", "norm", "canonical_name",
         F.array_sort(F.array_except("__all", F.array("canonical_name"))).alias("aliases"), "n_records", "n_subs", "domain_hint", "subs",
-    ).orderBy(F.desc("n_records"), "type", "canonical_name")
+    )
+
+
+def by_frequency(entities: DataFrame) -> DataFrame:
+    """The most frequent first, then by type and name."""
+    return entities.orderBy(F.desc("n_records"), "type", "canonical_name")
 
 
 def keywords_union(records: DataFrame, kind: str = "type", norm: str = "norm", keywords: str = "keywords", position: str = "position") -> DataFrame:

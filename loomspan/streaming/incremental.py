@@ -43,9 +43,17 @@ def import_missing(cache: DataFrame, other: DataFrame, keys: list[str]) -> DataF
 
 
 def window_requests(calls: DataFrame, at: str = "ts", by: str | None = None, seconds: int = 60) -> DataFrame:
-    """How many calls fall in the ``seconds`` before each one, itself included."""
-    w = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(F.col(at).cast("double")).rangeBetween(-seconds, 0)
-    return calls.withColumn("n_recent", F.count("*").over(w))
+    """How many calls fall in the ``seconds`` before each one, itself included.
+
+    Time is cut in stretches of ``seconds``; a call is counted in its own and seen from the next, so
+    tasks hold two stretches, however long the log.
+    """
+    when = F.col("__at")
+    timed = calls.withColumn("__at", F.col(at).cast("double")).withColumn("__own", F.floor(when / seconds).cast("long"))
+    spread = timed.withColumn("__slot", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    w = Window.partitionBy(*([by] if by else []), "__slot").orderBy("__at").rangeBetween(-seconds, 0)
+    counted = spread.withColumn("n_recent", F.count("*").over(w)).where(F.col("__slot") == F.col("__own"))
+    return counted.drop("__at", "__own", "__slot")
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, checkpoint: str, step: Callable[[DataFrame, int], None], fmt: str = "parquet",

@@ -85,7 +85,7 @@ def test_passk_grouping_and_spread(spark):
 
 def test_canonical(spark):
     data = [("concept", "Ideal Gas", "s1", 0, "x"), ("concept", "ideal gas!", "s2", 1, "x"), ("concept", "Ideal Gas", "s1", 2, "y"), ("technique", "Ideal gas", "s3", 3, "x"), ("concept", "  ", "s", 4, "x")]
-    out = canon.canonical(spark.createDataFrame(data, "type string, name string, sub_id string, position int, domain string")).collect()
+    out = canon.by_frequency(canon.canonical(spark.createDataFrame(data, "type string, name string, sub_id string, position int, domain string"))).collect()
     assert [(r["type"], r["canonical_name"], r["aliases"], r["n_records"], r["n_subs"], r["subs"]) for r in out] == [
         ("concept", "Ideal Gas", ["ideal gas!"], 3, 2, ["s1", "s2"]), ("technique", "Ideal gas", [], 1, 1, ["s3"])]
     assert [tuple(x) for x in out[0]["domain_hint"]] == [("x", 2), ("y", 1)]
@@ -307,3 +307,14 @@ def test_scratch_goes(spark):
         at = made.scratch.removeprefix("file:")
         assert os.path.isdir(at) and made.count() == 3
     assert not os.path.isdir(at) and spark.sparkContext.applicationId in at
+
+
+def test_requests_in_a_window(spark):
+    import random
+
+    rng = random.Random(2)
+    calls = [(rng.uniform(-200, 900), rng.choice("ab")) for _ in range(300)]
+    df = spark.createDataFrame(calls, "ts double, who string")
+    for by in (None, "who"):
+        got = {(r["ts"], r["who"]): r["n_recent"] for r in incremental.window_requests(df, by=by).collect()}
+        assert got == {(t, w): sum(t - 60 <= u <= t and (by is None or v == w) for u, v in calls) for t, w in calls}
