@@ -385,7 +385,6 @@ class Wrapper:
 
     template: set[int]
     region: set[int]
-    declared: bool = True
 
 
 def induce(trees: list[Node]) -> list[Wrapper]:
@@ -447,7 +446,7 @@ def induce(trees: list[Node]) -> list[Wrapper]:
         if len(trees) > 1 and not any(id(n) in inside and not n.off and id(n) not in found for n in _walk(tree) if n.blocks):
             out += induce([tree])
         else:
-            out.append(Wrapper(found, inside, any(n.article for n in _walk(own)) if own is not None else False))
+            out.append(Wrapper(found, inside))
     return out
 
 
