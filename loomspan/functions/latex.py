@@ -284,10 +284,14 @@ def number(node: Node) -> float:
     return v.real
 
 
-def sample_points(names: set[str], n: int = 6) -> list[dict[str, complex]]:
+def sample_points(names: set[str], n: int = 30) -> list[dict[str, complex]]:
+    """Variables may be any numbers, so points are positive, of either sign, and complex in all quadrants: what holds for positive ones only is no identity."""
     rng = random.Random(20240229)
     order = sorted(names)
-    return [{v: complex(rng.uniform(0.3, 2.7), rng.uniform(-0.4, 0.4) if i % 2 else 0.0) for v in order} for i in range(n)]
+    size = lambda: rng.uniform(0.3, 2.7)
+    signed = lambda: size() * rng.choice((-1, 1))
+    kinds = (lambda: complex(size()), lambda: complex(signed()), lambda: complex(signed(), signed()))
+    return [{v: kinds[i % 3]() for v in order} for i in range(n)]
 
 
 def differences(a: Node, b: Node) -> list[tuple[complex, complex]]:
