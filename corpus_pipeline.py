@@ -1,14 +1,18 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir), acts on all rows of ``docs`` and returns the next table."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir), acts on all rows of ``docs`` and returns the next table.
+
+Null texts are empty ones (and stay null where they are kept), null ids are ids like any other,
+repeated rows are rows of their own until near-dedup leaves one of them, an empty table stays
+empty, and columns may have any names beside doc_id, text, lang and n_chars.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomspan.llm import line_dedup, packing, quality_mil, quality_rules, simhash
-from loomspan.llm.common import scratch_path
+from loomspan.llm.common import scratch_path, temporary
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary():  # what a stage wrote for itself goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
