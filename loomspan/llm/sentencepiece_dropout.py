@@ -40,7 +40,7 @@ META = "▁"
 #: Stands for a U+2581 of the text among the words; no word has marks at both ends.
 MARK = f"{META}x{META}"
 #: Words merged at a time; outcomes and words kept; characters from which a unit's outcomes are not kept (its pops fit 64 bits below).
-SLICE, MOST, LONG = 300_000, 1_000_000, 20
+SLICE, MOST, LONG = 300_000, 2_000_000, 20
 _RUNS = re.compile(f"{META}+[^{META}]*|[^{META}]+")
 
 
@@ -121,12 +121,12 @@ class DropoutBpe:
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
-        self.word_parts = Table(first=np.int64, count=np.int64)
-        self.parts = Table(node=np.int64)
+        self.word_parts = Table(first=np.int32, count=np.int32)
+        self.parts = Table(node=np.int32)
         self.units: dict[str, int] = {}
         # An outcome: its unit, the pops skipped (bits), the first open pop, how many follow if none is skipped, where its children stand.
-        self.nodes = Table(skips=np.uint64, first=np.int64, open=np.int64, child=np.int64, long=bool)
-        self.child = Table(node=np.int64)
+        self.nodes = Table(skips=np.uint64, first=np.int8, open=np.int8, child=np.int32, long=bool)
+        self.child = Table(node=np.int32)
         self.ids: list[bytes] = []
         self.unit_of: list[str] = []
 
@@ -302,7 +302,7 @@ class DropoutBpe:
 
     def _children(self, node: np.ndarray, pop: np.ndarray) -> np.ndarray:
         """The outcomes with one more skip."""
-        slot = self.nodes["child"][node] + pop - self.nodes["first"][node]
+        slot = self.nodes["child"][node].astype(np.int64) + pop - self.nodes["first"][node]
         found = self.child["node"][slot]
         lack = np.flatnonzero(found < 0)
         if len(lack):
@@ -331,7 +331,7 @@ class DropoutBpe:
             code[lack] = [self.words[words[k]] for k in lack]
         n = self.word_parts["count"][code]
         total = int(n.sum())
-        node = self.parts["node"][np.arange(total) + np.repeat(self.word_parts["first"][code] - (np.cumsum(n) - n), n)]
+        node = self.parts["node"][np.arange(total) + np.repeat(self.word_parts["first"][code] - (np.cumsum(n) - n), n)].astype(np.int64)
         ends = np.cumsum(n)[np.cumsum([len(w) for _, w, _ in texts]) - 1]
         each = np.diff(ends, prepend=0)
         number = np.arange(total) - np.repeat(ends - each - np.array([b for *_, b in texts]), each)
@@ -339,7 +339,7 @@ class DropoutBpe:
         active = np.arange(total) if self.dropout else ()
         while len(active):
             here = node[active]
-            open_ = self.nodes["open"][here]
+            open_ = self.nodes["open"][here].astype(np.int64)
             some = open_ > 0
             active, here, open_ = active[some], here[some], open_[some]
             which = np.repeat(np.arange(len(active)), open_)
