@@ -50,6 +50,22 @@ class Whole:
         return df.select(*self.own).toDF(*self.columns)
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """``make()``, once a Python worker: what a task has learned serves the next one, until :func:`fresh`. One is kept at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def fresh() -> None:
+    """Drop what :func:`kept` holds: workers outlive their operator, and the next one's memory would come on top."""
+    _kept.clear()
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], n_in: int) -> DataFrame:
     """mapInArrow over rows: ``make()`` runs once a task and returns f(*row) -> iterable of output tuples.
 
@@ -59,6 +75,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], n_in: int
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         f = make()
         out: list[tuple] = []
         weight = 0
@@ -122,6 +139,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     keep = StructType([f for f in df.schema.fields if f.name not in drop])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         f = make()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):

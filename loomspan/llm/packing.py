@@ -22,14 +22,13 @@ import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, SparkSession, _arrow_schema, _to_batch, map_rows, materialize, pick
+from .common import TOKENIZER_DIR, SparkSession, _arrow_schema, _to_batch, kept, map_rows, materialize, pick
 
 #: Least salts of a length, and of full pieces, which need no partner; pieces of a salt beyond those.
 SALTS, FULL_SALTS, PER_SALT = 64, 4096, 100_000
@@ -126,10 +125,9 @@ class Encoder:
         return self.join(words)
 
 
-@lru_cache(maxsize=1)
 def shared_encoder(path: str) -> Encoder:
-    """One a Python worker: what a task has learned serves the next one."""
-    return Encoder(path)
+    """One a Python worker: what a task has learned serves the next one, and goes when another operator's begins."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:

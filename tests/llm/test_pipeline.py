@@ -74,3 +74,42 @@ def test_last_stage_takes_odd_tables(spark, sf):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert sum(r["piece"] == 0 for r in out) == len(ODD)
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).collect() == []
+
+
+def test_workers_drop_what_packing_learned(spark):
+    """Workers outlive a stage: the tokenizer's words must not stay beside what the next one needs."""
+    from loomspan.llm.common import map_batches, map_rows
+
+    docs = spark.range(64).selectExpr("id AS doc_id", "concat('word', id) AS text").repartition(8)
+
+    def held():
+        import gc
+        import time
+
+        time.sleep(0.3)  # so that all workers take part
+        return sum(type(x).__name__ == "Encoder" for x in gc.get_objects())
+
+    def by_row():
+        n = held()
+        return lambda doc_id: [(n,)]
+
+    def by_batch():
+        import pyarrow as pa
+
+        n = held()
+        return lambda batch: pa.record_batch([pa.array([n] * len(batch), pa.int64())], ["doc_id"])
+
+    for probe in (lambda: map_rows(docs.select("doc_id"), "n long", by_row, 1), lambda: map_batches(docs.select("doc_id"), by_batch)):
+        assert packing.pieces(docs).count() == 64
+        assert {r[0] for r in probe().collect()} == {0}
+
+
+def test_tasks_of_one_worker_share_the_encoder():
+    from loomspan.llm.common import fresh
+
+    path = packing.tokenizer_path()
+    first = packing.shared_encoder(path)
+    assert packing.shared_encoder(path) is first
+    fresh()
+    assert packing.shared_encoder(path) is not first
+    fresh()
