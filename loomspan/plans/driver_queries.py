@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import canon, coverage, decontam, evalrun, inventory, passk, retrieve
+from ..storage import materialize
 from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,7 +292,7 @@ g AS (SELECT f.query_id, f.vec_id, round(f.rrf * CASE WHEN s.label = s.q_label T
 SELECT query_id, vec_id, final_score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, vec_id) AS rank FROM g) WHERE rank <= 30""")
 def rrf_topk(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
-    dense = retrieve.ranked(_dense(spark, sf_dir, 200), "query_id", "vec_id", 200, "dense")
+    dense = materialize(retrieve.ranked(_dense(spark, sf_dir, 200), "query_id", "vec_id", 200, "dense"), "dense")  # read for pairs and for ranks
     near = vectors.select("vec_id").withColumn("query_id", F.explode(F.expr("""filter(transform(sequence(-5, 5), i -> 50 * (vec_id div 50 + i)), q -> q >= 0)""")))
     near = near.join(vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
     near = retrieve.ranked(near.withColumn("score", -F.abs(F.col("vec_id") - F.col("query_id")).cast("double")), "query_id", "vec_id", 200, "near")

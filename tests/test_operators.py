@@ -343,3 +343,10 @@ def test_products_in_bounded_memory(spark, monkeypatch):
     s = np.round(unit[::5] @ unit.T, 9)
     want = {(5 * i, j) for i in range(100) for j in np.lexsort((np.arange(500), -s[i]))[:9].tolist()}
     assert {(r["query_id"], r["vec_id"]) for r in retrieve.dense(df, asked, k=9).collect()} == want
+
+
+def test_fused_queries_search_once(spark, sf):
+    from loomspan.plans import driver_queries
+
+    made = driver_queries.rrf_topk(spark, sf)
+    assert "CoGroups" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 30 * spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").count()
