@@ -262,7 +262,7 @@ s AS (SELECT item_id, doc_id, sum(qf * CASE WHEN idf < 0 THEN low ELSE idf END *
 @query(_BM25 + """SELECT item_id, doc_id, round(score, 6) AS bm25_score, rk::INTEGER AS bm25_rank FROM
   (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rk FROM s) WHERE rk <= 200""")
 def bm25_topk(spark, sf_dir):
-    scores = retrieve.bm25(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    scores = retrieve.bm25(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=200, digits=6)
     return retrieve.ranked(scores, "item_id", "doc_id", 200, "bm25", 6).withColumn("bm25_score", F.round("bm25_score", 6))
 
 

@@ -136,7 +136,7 @@ def coverage_job(spark: SparkSession, root: str, chapters: DataFrame, subs: Data
 
     def candidates(made):
         asked = texts(made).where("key LIKE 'kp:%'").select(F.expr("substring(key, 4)").alias("kp_id"), "text")
-        scores = retrieve.bm25(made["fragments"].withColumn("text", F.col("text_norm")), asked, "fragment_id", "kp_id", query_terms=retrieve.split_terms(F.col("text")))
+        scores = retrieve.bm25(made["fragments"].withColumn("text", F.col("text_norm")), asked, "fragment_id", "kp_id", query_terms=retrieve.split_terms(F.col("text")), k=pool)
         channels = {"bm25": retrieve.ranked(scores, "kp_id", "fragment_id", pool, "bm25")}
         if embed is not None:
             now = texts(made).select("key", F.sha1(F.col("text").cast("binary")).alias("digest"))

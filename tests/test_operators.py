@@ -350,3 +350,15 @@ def test_fused_queries_search_once(spark, sf):
 
     made = driver_queries.rrf_topk(spark, sf)
     assert "CoGroups" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 30 * spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").count()
+
+
+def test_best_of_each_task_are_enough(spark, monkeypatch):
+    texts = [(i % 90, " ".join(f"w{(i * k) % 7}" for k in range(i % 5 + 1))) for i in range(100)]  # ids 0 to 9 twice
+    docs = spark.createDataFrame([*texts, (None, "w1 w2"), (200, None), (201, "")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "w0 w1 w1"), (2, "w3 w0"), (None, "w6"), (3, "absent"), (4, None)], "item_id long, text string")
+    best = lambda scores: rows(retrieve.ranked(scores, "item_id", "doc_id", 4, "bm25", 6).withColumn("bm25_score", F.round("bm25_score", 9)).fillna(-1), "item_id", "doc_id", "bm25_score", "bm25_rank")
+    whole = best(retrieve.bm25(docs, asked))
+    few = retrieve.bm25(docs, asked, k=4, digits=6)
+    assert best(few) == whole and len(whole) > 8 and few.count() <= 3 * 4 * few.rdd.getNumPartitions() and "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(retrieve, "CELLS", 7)  # two rows at a time
+    assert best(retrieve.bm25(docs, asked, k=4, digits=6)) == whole == best(retrieve.bm25(docs, asked))
