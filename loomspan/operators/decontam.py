@@ -12,18 +12,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-
-def _gram_hashes(keys: Column, n: int) -> Column:
-    """array<struct<p, h1, h2>> of the word n-grams."""
-    at = F.sequence(F.lit(0), F.size(keys) - n)
-
-    def one(i):
-        gram = F.slice(keys, i + 1, n)  # of token hashes: a gram is 8 n bytes to hash, not n strings
-        return F.struct(i.alias("p"), F.xxhash64(gram).alias("h1"), F.xxhash64(F.lit(1), gram).alias("h2"))
-
-    empty = F.expr("cast(array() as array<struct<p:int,h1:bigint,h2:bigint>>)")
-    return F.when(F.size(keys) >= n, F.transform(at, one)).otherwise(empty)
+from ..storage import materialize
+
+
+def _grams(keyed: DataFrame, n: int, tokens: int = 1 << 19) -> DataFrame:
+    """One row per n-gram of the last column, token hashes: the other columns, position, two 64-bit polynomial hashes. About ``tokens`` tokens are taken at a time (one row at least)."""
+    import numpy as np
+    import pyarrow as pa
+
+    kept = keyed.dtypes[:-1]
+
+    def run(batches):
+        for whole in batches:
+            ends = np.cumsum(whole.column(len(kept)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype="int64")
+            at = 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tokens, "right")))
+                batch, at = whole.slice(at, to - at), to
+                lists = batch.column(len(kept))
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+                keys = lists.flatten().to_numpy(zero_copy_only=False).view("uint64")
+                if len(keys) < n:
+                    continue
+                row, end = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+                start = np.flatnonzero(np.arange(len(keys)) + n <= end[row])
+                hashes = []
+                for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+                    made = np.zeros(len(keys) - n + 1, "uint64")
+                    for j in range(n):
+                        made = made * np.uint64(factor) + keys[j : j + len(made)]
+                    hashes.append(pa.array(made[start].view("int64")))
+                row = row[start]
+                place = (start - (end - sizes)[row]).astype("int32")
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(len(kept))), pa.array(place), *hashes], [*(c for c, _ in kept), "p", "h1", "h2"])
+
+    return keyed.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*kept, ("p", "int"), ("h1", "bigint"), ("h2", "bigint")]))
 
 
 def long_fields(items: DataFrame, id_cols: list[str], fields: list[str]) -> DataFrame:
@@ -37,10 +60,8 @@ def marked_tokens(items: DataFrame, texts: DataFrame, n: int = 13, item: str = "
     by = [source] if source else []
     hashed = lambda: F.transform(T.tokens("text"), lambda t: F.xxhash64(t)).alias("k")
     keyed = items.select(item, *by, hashed()).where(F.size("k") >= n)
-    seeds = keyed.select(item, *by, F.size("k").alias("n_keys"), F.explode(_gram_hashes(F.col("k"), n)).alias("g"))
-    seeds = seeds.select(item, *by, "n_keys", F.col("g.h1").alias("h1"), F.col("g.h2").alias("h2")).distinct()
-    probes = texts.select(doc, *by, hashed()).select(doc, *by, F.explode(_gram_hashes(F.col("k"), n)).alias("g"))
-    probes = probes.select(doc, *by, F.col("g.p").alias("p"), F.col("g.h1").alias("h1"), F.col("g.h2").alias("h2"))
+    seeds = _grams(keyed.select(item, *by, F.size("k").alias("n_keys"), "k"), n).drop("p").distinct()
+    probes = _grams(texts.select(doc, *by, hashed()), n)
     hits = probes.join(seeds, [*by, "h1", "h2"]).select(item, doc, "p", "n_keys")
     return hits.select(item, doc, "n_keys", F.explode(F.sequence(F.col("p"), F.col("p") + n - 1)).alias("pos")).distinct()
 
@@ -95,7 +116,7 @@ def redact_text(text: str, runs: list[tuple[int, int]], placeholder: str) -> tup
 
 def redact(texts: DataFrame, hits: DataFrame, placeholder: str = "[REDACTED]", doc: str = "doc_id") -> DataFrame:
     """``texts`` with the token runs of ``hits`` (start_tok, end_tok) replaced; documents without a hit don't pass through Python."""
-    packed = hits.groupBy(doc).agg(F.collect_set(F.struct("start_tok", "end_tok")).alias("__runs"))
+    packed = materialize(hits.groupBy(doc).agg(F.collect_set(F.struct("start_tok", "end_tok")).alias("__runs")), "redactions")  # read twice, searched once
 
     @F.pandas_udf("struct<text:string,n_spans:long>")
     def run(text: pd.Series, runs: pd.Series) -> pd.DataFrame:

@@ -362,3 +362,11 @@ def test_best_of_each_task_are_enough(spark, monkeypatch):
     assert best(few) == whole and len(whole) > 8 and few.count() <= 3 * 4 * few.rdd.getNumPartitions() and "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(retrieve, "CELLS", 7)  # two rows at a time
     assert best(retrieve.bm25(docs, asked, k=4, digits=6)) == whole == best(retrieve.bm25(docs, asked))
+
+
+def test_redaction_searches_once(spark, sf):
+    from loomspan.plans import driver_queries
+
+    made = driver_queries.redacted_docs(spark, sf)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "xxhash64" not in plan and made.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
